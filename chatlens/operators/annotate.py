@@ -113,12 +113,18 @@ class LexiconAnnotator:
 def parse_responses(
     df: DataFrame, text: str = "response", column: str = "parsed", success: str = "success"
 ) -> DataFrame:
-    """Add the parsed response and whether it is a JSON object; anything else parses to null."""
-    parsed = F.try_parse_json(text)
-    is_object = F.col(text).rlike(r"^[ \t\r\n]*\{")
-    return df.withColumn(column, F.when(is_object, parsed)).withColumn(
-        success, F.col(column).isNotNull()
-    )
+    """Add the parsed response and whether it is a JSON object; anything else parses to null.
+
+    The parser stops at the end of the first value and passes over what follows. The text is therefore
+    parsed inside an object and inside an array: whatever could close the one early cannot close the
+    other. Objects that repeat a key and the non-standard number NaN do not count as JSON.
+    """
+    source = F.col(text)
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), source, F.lit("}")))
+    in_array = F.try_parse_json(F.concat(F.lit("["), source, F.lit("]")))
+    is_object = source.rlike(r"^[ \t\r\n]*\{")
+    parsed = F.when(is_object & in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+    return df.withColumn(column, parsed).withColumn(success, F.col(column).isNotNull())
 
 
 def _path(name: str, nested: bool) -> str:

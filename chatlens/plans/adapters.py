@@ -175,10 +175,13 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents, pages and conversations, the latter with sensitive data added."""
+    turns = _select(table(spark, sf_dir, "conversations").alias("c"), MESSAGE_COLUMNS)
+    # Passing through explode, the long text expression is not pasted into every regex test.
+    turns = turns.withColumn("MSGTEXT", F.explode(F.array("MSGTEXT")))
     parts = [
         _select(table(spark, sf_dir, "documents"), DOCUMENT_COLUMNS),
         _select(table(spark, sf_dir, "pages"), PAGE_COLUMNS),
-        _select(table(spark, sf_dir, "conversations").alias("c"), MESSAGE_COLUMNS),
+        turns,
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -288,7 +288,7 @@ _register(
 )
 _register(
     "responses",
-    parse_responses="SELECT INTERACTION_ID, response, coalesce(json_valid(response) AND json_type(response) = 'OBJECT', false) AS success FROM responses",
+    parse_responses="SELECT INTERACTION_ID, response, CASE WHEN json_valid(response) THEN json_type(response) = 'OBJECT' ELSE false END AS success FROM responses",
     flatten_features="SELECT INTERACTION_ID, response, ok AS success, j->>'$.resolution' AS resolution, NULL::VARCHAR AS satisfaction,"
     " j->>'$.tone.client' AS client_tone, NULL::VARCHAR AS operator_tone, NULL::VARCHAR AS language_level,"
     " array_to_string(CAST(j->'$.emotions' AS VARCHAR[]), '|') AS client_emotions, NULL::VARCHAR AS operator_emotions, NULL::VARCHAR AS topics,"
@@ -296,8 +296,7 @@ _register(
     " CASE WHEN json_valid(response) THEN CAST(response AS JSON) END AS j FROM responses)",
     flatten_struct="SELECT INTERACTION_ID, j->>'$.resolution' AS resolution, j->>'$.tone.client' AS tone_client,"
     " array_to_string(CAST(j->'$.emotions' AS VARCHAR[]), '|') AS emotions, j->>'$.extra' AS extra FROM"
-    " (SELECT *, CASE WHEN json_valid(response) THEN CAST(response AS JSON)"
-    " WHEN starts_with(response, '{') THEN CAST(response || '}' AS JSON) END AS j FROM responses)",
+    " (SELECT *, CASE WHEN json_valid(response) THEN CAST(response AS JSON) END AS j FROM responses)",
 )
 
 # Agreement
