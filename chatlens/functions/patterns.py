@@ -1,6 +1,9 @@
 """Patterns of sensitive data, with the labels that replace them."""
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -8,57 +11,73 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Pattern:
-    """A kind of sensitive data.
+    """A kind of sensitive data; ``regex`` is in Java syntax.
 
-    ``regex`` is in Java syntax. ``needs`` is a text that occurs in every match, and ``needs_digit``
-    says that every match holds a digit: both let a cheap test spare most texts the regex.
+    Most texts hold none, so each pattern comes with a cheap screen that every match passes: a literal
+    it contains (``needs``), or simpler regexes that all occur in it (``forms``, cheapest first).
+    ``forms_with_letters`` tells that a form can match letters.
     """
 
     name: str
     regex: str
     label: str
     needs: str | None = None
-    needs_digit: bool = False
-
+    forms: tuple[str, ...] = ()
+    forms_with_letters: bool = False
+
+
+_DIGITS = "[0-9]{4}"
+_CARD_FORMS = (_DIGITS, "[0-9]{12}")
+# The last ten characters of a tax code, position by position. The classes are spelt out, as the regex
+# engine looks up a list of characters faster than it compares with ranges.
+_LETTER = "[ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz]"
+_DIGIT_OR_CODE = "[0123456789LMNPQRSTUVlmnpqrstuv]"
+_MONTH = "[ABCDEHLMPRSTabcdehlmprst]"
+_PLACE = "[ABCDEFGHIJKLMZabcdefghijklmz]"
+_TAX_CODE_TAIL = (
+    f"{_DIGIT_OR_CODE}{{2}}{_MONTH}{_DIGIT_OR_CODE}{{2}}{_PLACE}{_DIGIT_OR_CODE}{{3}}{_LETTER}"
+)
 
 # Regexes, labels and their order decide what is found and how it is written.
 CODICE_FISCALE = Pattern(
     "CODICE_FISCALE",
     r"\b(?:[A-Za-z][AEIOUaeiou][AEIOUXaeioux]|[AEIOUaeiou]X{2}|[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]{2}[A-Za-z]){2}(?:[\dLMNP-Vlmnp-v]{2}(?:[A-EHLMPR-Ta-ehlmpr-t](?:[04LQ][1-9MNP-Vlmnp-v]|[15MR][\dLMNP-Vlmnp-v]|[26NS][0-8LMNP-Ulmnp-u])|[DHPSdhps][37PTpt][0L]|[ACELMRTacelmr-t][37PTpt][01LM]|[AC-EHLMPR-Tac-ehlmpr-t][26NSns][9Vv])|(?:[02468LNQSUlnqsu][048LQU048lqu]|[13579MPRTV13579mprtv][26NS26ns])B[26NS26ns][9Vv])(?:[A-MZa-mz][1-9MNP-Vlmnp-v][\dLMNP-Vlmnp-v]{2}|[A-Ma-m][0L](?:[1-9MNP-Vlmnp-v][\dLMNP-Vlmnp-v]|[0L][1-9MNP-Vlmnp-v]))[A-Za-z]\b",
     "Codice Fiscale",
+    forms=(_TAX_CODE_TAIL,),
+    forms_with_letters=True,
 )
 EMAIL = Pattern("EMAIL", r"\b[\w\-\.]+@([\w-]+\.)+[\w-]{2,}\b", "Email", needs="@")
 IBAN = Pattern(
     "IBAN",
     r"\b[A-Za-z]{2}[0-9]{2}(?:[ ]?[0-9]{4}){4}(?!(?:[ ]?[0-9]){3})(?:[ ]?[0-9]{1,2})?\b",
     "IBAN",
-    needs_digit=True,
+    forms=(_DIGITS, "[0-9]{4} ?[0-9]{4} ?[0-9]{4} ?[0-9]{4}"),
 )
-VISA = Pattern("VISA", r"\b4[0-9]{12}(?:[0-9]{3})?\b", "Numero carta di credito", needs_digit=True)
+VISA = Pattern("VISA", r"\b4[0-9]{12}(?:[0-9]{3})?\b", "Numero carta di credito", forms=_CARD_FORMS)
 MASTERCARD = Pattern(
     "MASTERCARD",
     r"\b(5[1-5][0-9]{14}|2(22[1-9][0-9]{12}|2[3-9][0-9]{13}|[3-6][0-9]{14}|7[0-1][0-9]{13}|720[0-9]{12}))\b",
     "Numero carta di credito",
-    needs_digit=True,
+    forms=_CARD_FORMS,
 )
-AMEX = Pattern("AMEX", r"\b3[47][0-9]{13}\b", "Numero carta di credito", needs_digit=True)
+AMEX = Pattern("AMEX", r"\b3[47][0-9]{13}\b", "Numero carta di credito", forms=_CARD_FORMS)
 MAESTRO = Pattern(
     "MAESTRO",
     r"\b(5018|5020|5038|6304|6759|6761|6763)[0-9]{8,15}\b",
     "Numero carta di credito",
-    needs_digit=True,
+    forms=_CARD_FORMS,
 )
 VISA_MASTERCARD = Pattern(
     "VISA_MASTERCARD",
     r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14})\b",
     "Numero carta di credito",
-    needs_digit=True,
+    forms=_CARD_FORMS,
 )
 PHONE_NUMBER = Pattern(
     "PHONE_NUMBER",
     r"\b[\+]?[(]?[0-9]{3}[)]?[-\s\.]?[0-9]{3}[-\s\.]?[0-9]{4,6}\b",
     "Numero di telefono",
-    needs_digit=True,
+    forms=(_DIGITS, r"[0-9]{3}[)]?[-\s.]?[0-9]{3}[-\s.]?[0-9]{4}"),
 )
 LINK = Pattern(
     "LINK",
@@ -100,7 +119,9 @@ NO_MATCH = "False"
 #: Optional replacement for IBAN: the default one takes digits only after the check digits and so
 #: misses the countries that put letters there.
 IBAN_GENERAL = replace(
-    IBAN, regex=r"\b[A-Za-z]{2}[0-9]{2}(?: ?[0-9A-Za-z]{4}){2,7}(?: ?[0-9A-Za-z]{1,3})?\b"
+    IBAN,
+    regex=r"\b[A-Za-z]{2}[0-9]{2}(?: ?[0-9A-Za-z]{4}){2,7}(?: ?[0-9A-Za-z]{1,3})?\b",
+    forms=("[0-9]{2}",),
 )
 
 
@@ -108,20 +129,29 @@ def by_name(patterns: tuple[Pattern, ...]) -> dict[str, Pattern]:
     return {p.name: p for p in patterns}
 
 
-def may_hold(text: Column, pattern: Pattern) -> Column | None:
-    """Cheap test that is false only where the pattern cannot match; None if there is no such test."""
+def passes_screen(text: Column, pattern: Pattern) -> Column:
+    """False only where the pattern cannot match."""
     if pattern.needs is not None:
         return F.contains(text, F.lit(pattern.needs))
-    if pattern.needs_digit:
-        return text.rlike("[0-9]")
-    return None
+    return reduce(lambda a, b: a & b, [text.rlike(f) for f in pattern.forms], F.lit(True))
 
 
 def found(text: Column, pattern: Pattern) -> Column:
     """Whether the text holds a match; null for null text."""
-    test = may_hold(text, pattern)
-    match = text.rlike(pattern.regex)
-    return match if test is None else test & match
+    return passes_screen(text, pattern) & text.rlike(pattern.regex)
+
+
+# Labels of letters, brackets and inner blanks cannot be part of anything a literal or a form without
+# letters matches.
+_PLAIN_LABEL = re.compile(r"[A-Za-z<>\[\]_]([A-Za-z<>\[\]_ ]*[A-Za-z<>\[\]_])?")
+
+
+def screen_outlives(pattern: Pattern, earlier: Sequence[Pattern]) -> bool:
+    """Whether the screen of the original text still holds after earlier patterns were replaced."""
+    if not earlier:
+        return True
+    plain = all(_PLAIN_LABEL.fullmatch(p.label) for p in earlier)
+    return plain and not pattern.forms_with_letters
 
 
 def quoted_replacement(label: str) -> str:

@@ -3,7 +3,7 @@
 All operators are projections, so they need no shuffle; only the counts aggregate, in one pass.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,17 +20,43 @@ from chatlens.functions.patterns import (
     Pattern,
     by_name,
     found,
-    may_hold,
+    passes_screen,
     quoted_replacement,
+    screen_outlives,
 )
 from chatlens.schema import CHAT_COLUMNS
 
 
+def _screened(
+    df: DataFrame, text: str, patterns: Sequence[Pattern]
+) -> tuple[DataFrame, dict[str, str]]:
+    """Add the screens as columns, each once, and tell which column screens which pattern."""
+    columns: dict[tuple, str] = {}
+    of_pattern = {}
+    screens = {}
+    for p in patterns:
+        key = (p.needs, p.forms)
+        if key not in columns:
+            columns[key] = f"__screen_{len(columns)}"
+            screens[columns[key]] = passes_screen(F.col(text), p)
+        of_pattern[p.name] = columns[key]
+    return df.withColumns(screens), of_pattern
+
+
+def _flags(
+    df: DataFrame, text: str, patterns: Sequence[Pattern]
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Frame with screens, and per pattern whether the text holds a match."""
+    df, screen = _screened(df, text, patterns)
+    return df, {p.name: F.col(screen[p.name]) & F.col(text).rlike(p.regex) for p in patterns}
+
+
 def pii_flags(
     df: DataFrame, text: str = "MSGTEXT", patterns: Sequence[Pattern] = DEFAULT_PATTERNS
 ) -> DataFrame:
     """One boolean column per pattern; null text gives null flags."""
-    return df.withColumns({p.name: found(F.col(text), p) for p in patterns})
+    screened, flags = _flags(df, text, patterns)
+    return screened.select(*df.columns, *[flag.alias(name) for name, flag in flags.items()])
 
 
 def pii_filter(
@@ -60,20 +86,29 @@ def pii_counts(
     if cards:
         kinds["credit_card"] = cards
     kinds.update({n.lower(): [n] for n in names if n not in CARDS})
-    flags = df.select(*[found(F.col(text), p).alias(p.name) for p in patterns])
-    return flags.agg(*[F.count_if(_any_of(ns)).alias(kind) for kind, ns in kinds.items()])
+    screened, flags = _flags(df.select(text), text, patterns)
+    flagged = screened.select(*[flag.alias(name) for name, flag in flags.items()])
+    return flagged.agg(*[F.count_if(_any_of(ns)).alias(kind) for kind, ns in kinds.items()])
 
 
-def _first_kind(
-    text: Column, patterns: Sequence[Pattern], precedence: Sequence[str], result, default: Column
-) -> Column:
-    """``result(pattern)`` of the first pattern in order of precedence that occurs."""
+def _with_first_kind(
+    df: DataFrame,
+    text: str,
+    patterns: Sequence[Pattern],
+    precedence: Sequence[str],
+    result: Callable[[Pattern], Column],
+    default: Column,
+    column: str,
+) -> DataFrame:
+    """Add ``result(pattern)`` of the first pattern in order of precedence that occurs."""
     named = by_name(tuple(patterns))
-    chain = F.when(text.isNull(), default)
+    screened, flags = _flags(df, text, patterns)
+    chain = F.when(F.col(text).isNull(), default)
     for name in precedence:
         if name in named:
-            chain = chain.when(found(text, named[name]), result(named[name]))
-    return chain.otherwise(default)
+            chain = chain.when(flags[name], result(named[name]))
+    kept = [c for c in df.columns if c != column]
+    return screened.select(*kept, chain.otherwise(default).alias(column))
 
 
 def pii_label(
@@ -84,21 +119,9 @@ def pii_label(
     column: str = "Pattern",
 ) -> DataFrame:
     """Label of the first kind that occurs, ``NO_MATCH`` for none and for null text."""
-    label = _first_kind(F.col(text), patterns, precedence, lambda p: F.lit(p.label), F.lit(NO_MATCH))
-    return df.withColumn(column, label)
-
-
-def _can_skip(pattern: Pattern, labels: Sequence[str]) -> bool:
-    """Whether the cheap test on the original text holds for the partly redacted text as well.
-
-    It does unless a label could complete a match: by bringing a needed character along, or, being
-    empty, by letting its neighbours meet.
-    """
-    if not all(labels):
-        return False
-    if pattern.needs is not None:
-        return not any(c in label for label in labels for c in pattern.needs)
-    return not any(c.isdigit() for label in labels for c in label)
+    return _with_first_kind(
+        df, text, patterns, precedence, lambda p: F.lit(p.label), F.lit(NO_MATCH), column
+    )
 
 
 def pii_redact(
@@ -110,18 +133,17 @@ def pii_redact(
     """Replace every match of every pattern, one pattern after the other.
 
     Later patterns see the labels of earlier ones. Each step is a projection of its own over the last
-    one, so that no step is evaluated twice; patterns that share a test are skipped by it.
+    one, so that no step is evaluated twice.
     """
-    labels = [p.label for p in patterns]
-    original = F.col(text)
-    df = df.withColumn(column, original)
-    for p in patterns:
+    kept = [c for c in df.columns if c != column]
+    step, screen = _screened(df, text, patterns)
+    step = step.withColumn(column, F.col(text))
+    for i, p in enumerate(patterns):
         replaced = F.regexp_replace(F.col(column), p.regex, quoted_replacement(p.label))
-        test = may_hold(original, p) if _can_skip(p, labels) else None
-        if test is not None:
-            replaced = F.when(test, replaced).otherwise(F.col(column))
-        df = df.withColumn(column, replaced)
-    return df
+        if screen_outlives(p, patterns[:i]):
+            replaced = F.when(F.col(screen[p.name]), replaced).otherwise(F.col(column))
+        step = step.withColumn(column, replaced)
+    return step.select(*kept, column)
 
 
 def pii_redact_first_category(
@@ -133,14 +155,15 @@ def pii_redact_first_category(
 ) -> DataFrame:
     """Replace the matches of the first kind that occurs, and of no other."""
     source = F.col(text)
-    redacted = _first_kind(
-        source,
+    return _with_first_kind(
+        df,
+        text,
         patterns,
         precedence,
         lambda p: F.regexp_replace(source, p.regex, quoted_replacement(p.label)),
         source,
+        column,
     )
-    return df.withColumn(column, redacted)
 
 
 def pii_replace_message(
@@ -152,10 +175,10 @@ def pii_replace_message(
     column: str = "AN_MSGTEXT",
 ) -> DataFrame:
     """Put the label in place of the whole message; ``columns`` are kept beside it (None for all)."""
-    kept = [c for c in df.columns if c != text] if columns is None else list(columns)
-    source = F.col(text)
-    label = _first_kind(source, patterns, precedence, lambda p: F.lit(p.label), source)
-    return df.select(*kept, label.alias(column))
+    kept = [c for c in df.columns if c not in (text, column)] if columns is None else list(columns)
+    return _with_first_kind(
+        df, text, patterns, precedence, lambda p: F.lit(p.label), F.col(text), column
+    ).select(*kept, column)
 
 
 def pii_label_from_redacted(
