@@ -14,7 +14,7 @@ class Pattern:
     """A kind of sensitive data; ``regex`` is in Java syntax.
 
     Most texts hold none, so each pattern comes with a cheap screen that every match passes: a literal
-    it contains (``needs``), or simpler regexes that all occur in it (``forms``, cheapest first).
+    it contains (``needs``) and simpler regexes that all occur in it (``forms``, cheapest first).
     ``forms_with_letters`` tells that a form can match letters.
     """
 
@@ -46,7 +46,16 @@ CODICE_FISCALE = Pattern(
     forms=(_TAX_CODE_TAIL,),
     forms_with_letters=True,
 )
-EMAIL = Pattern("EMAIL", r"\b[\w\-\.]+@([\w-]+\.)+[\w-]{2,}\b", "Email", needs="@")
+# Matches what \b[\w\-\.]+@([\w-]+\.)+[\w-]{2,}\b matches. The engine recurses once per repeat of a
+# group, and overflows its stack on hosts of a few thousand labels; possessive repeats do not recurse.
+# The first branch takes a whole host whose last label can end it, the second one goes back to an
+# earlier label, within hosts of up to 200 labels (names have 127 at most).
+EMAIL = Pattern(
+    "EMAIL",
+    r"\b[\w\-\.]++@(?:[\w-]++(?:\.[\w-]++)++(?<=[\w-]{2})\b|([\w-]+\.){1,200}[\w-]{2,}\b)",
+    "Email",
+    needs="@",
+)
 IBAN = Pattern(
     "IBAN",
     r"\b[A-Za-z]{2}[0-9]{2}(?:[ ]?[0-9]{4}){4}(?!(?:[ ]?[0-9]){3})(?:[ ]?[0-9]{1,2})?\b",
@@ -79,9 +88,11 @@ PHONE_NUMBER = Pattern(
     "Numero di telefono",
     forms=(_DIGITS, r"[0-9]{3}[)]?[-\s.]?[0-9]{3}[-\s.]?[0-9]{4}"),
 )
+# Matches what (http|ftp|https):\/\/([\w_-]+(?:(?:\.[\w_-]+)+))([\w.,@?^=%&:\/~+#-]*[\w@?^=%&\/~+#-])
+# matches: beyond the first character after a dot, a host is made of characters the tail takes as well.
 LINK = Pattern(
     "LINK",
-    r"(http|ftp|https):\/\/([\w_-]+(?:(?:\.[\w_-]+)+))([\w.,@?^=%&:\/~+#-]*[\w@?^=%&\/~+#-])",
+    r"(http|ftp|https):\/\/[\w_-]+\.[\w_-][\w.,@?^=%&:\/~+#-]*[\w@?^=%&\/~+#-]",
     "Link",
     needs="://",
 )
@@ -131,9 +142,15 @@ def by_name(patterns: tuple[Pattern, ...]) -> dict[str, Pattern]:
 
 def passes_screen(text: Column, pattern: Pattern) -> Column:
     """False only where the pattern cannot match."""
+    tests = [text.rlike(form) for form in pattern.forms]
     if pattern.needs is not None:
-        return F.contains(text, F.lit(pattern.needs))
-    return reduce(lambda a, b: a & b, [text.rlike(f) for f in pattern.forms], F.lit(True))
+        tests.insert(0, F.contains(text, F.lit(pattern.needs)))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def first_test(pattern: Pattern) -> str | None:
+    """The test a screen begins with."""
+    return pattern.needs or next(iter(pattern.forms), None)
 
 
 def found(text: Column, pattern: Pattern) -> Column:

@@ -5,6 +5,7 @@ All operators are projections, so they need no shuffle; only the counts aggregat
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from chatlens.functions.patterns import (
     WHOLE_MESSAGE_PRECEDENCE,
     Pattern,
     by_name,
+    first_test,
     found,
     passes_screen,
     quoted_replacement,
@@ -132,16 +134,21 @@ def pii_redact(
 ) -> DataFrame:
     """Replace every match of every pattern, one pattern after the other.
 
-    Later patterns see the labels of earlier ones. Each step is a projection of its own over the last
-    one, so that no step is evaluated twice.
+    Later patterns see the labels of earlier ones. Patterns in a row that are screened alike form a
+    block, skipped where none of their screens passes. A text is named twice per block, so blocks, not
+    patterns, bound the size of the expression if a filter on the result is pushed down.
     """
     kept = [c for c in df.columns if c != column]
     step, screen = _screened(df, text, patterns)
     step = step.withColumn(column, F.col(text))
-    for i, p in enumerate(patterns):
-        replaced = F.regexp_replace(F.col(column), p.regex, quoted_replacement(p.label))
-        if screen_outlives(p, patterns[:i]):
-            replaced = F.when(F.col(screen[p.name]), replaced).otherwise(F.col(column))
+    blocks = [list(b) for _, b in groupby(enumerate(patterns), key=lambda ip: first_test(ip[1]))]
+    for block in blocks:
+        replaced = F.col(column)
+        for _, p in block:
+            replaced = F.regexp_replace(replaced, p.regex, quoted_replacement(p.label))
+        if all(screen_outlives(p, patterns[:i]) for i, p in block):
+            screens = dict.fromkeys(screen[p.name] for _, p in block)
+            replaced = F.when(_any_of(list(screens)), replaced).otherwise(F.col(column))
         step = step.withColumn(column, replaced)
     return step.select(*kept, column)
 

@@ -208,7 +208,12 @@ IBAN_TAILS = (
     rf"({WORD_END})",
 )
 IBAN_RE2 = f"{IBAN_BODY}(?:{'|'.join(IBAN_TAILS)})"
-REGEX = {p.name: IBAN_RE2 if p.name == "IBAN" else p.regex for p in P.DEFAULT_PATTERNS}
+REGEX = {
+    **{p.name: p.regex for p in P.DEFAULT_PATTERNS},
+    "IBAN": IBAN_RE2,
+    "EMAIL": r"\b[\w\-\.]+@([\w-]+\.)+[\w-]{2,}\b",
+    "LINK": r"(http|ftp|https):\/\/([\w_-]+(?:(?:\.[\w_-]+)+))([\w.,@?^=%&:\/~+#-]*[\w@?^=%&\/~+#-])",
+}
 LABEL = {p.name: p.label for p in P.DEFAULT_PATTERNS}
 
 
