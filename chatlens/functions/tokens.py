@@ -4,7 +4,7 @@ The default counts runs of non-blank characters inside the JVM. A sub-word vocab
 in with :func:`encoder_tokens`, which loads it once per Python worker and counts Arrow batches.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,16 +22,12 @@ def encoder_tokens(load_encoder: Callable[[], Callable[[str], list]]) -> Tokeniz
     """Tokenizer from a function that loads ``text -> tokens``; the function is shipped to the workers."""
     loaded: list = []
 
-    def count(batches):
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if not loaded:
             loaded.append(load_encoder())
         encode = loaded[0]
         for texts in batches:
             yield texts.map(lambda t: 0 if t is None else len(encode(t))).astype("int32")
 
-    count.__annotations__ = {"batches": "Iterator[pd.Series]", "return": "Iterator[pd.Series]"}
-    udf = F.pandas_udf(count, "int", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(count, "int")
     return lambda text: udf(text)
-
-
-__all__ = ["Tokenizer", "blank_separated_tokens", "encoder_tokens"]
