@@ -66,18 +66,32 @@ def _differs(feature: str, null_is_match: bool) -> Column:
     return ~predicted.eqNullSafe(human)
 
 
-def _compared(predictions: DataFrame, annotations: DataFrame, features, null_is_match) -> DataFrame:
+def _compared(
+    predictions: DataFrame,
+    annotations: DataFrame,
+    features: Sequence[str],
+    null_is_match: bool,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Annotator, conversation and, per feature, whether the two differ."""
     joined = predictions.select(KEY, *features).alias("p").join(
-        annotations.select("annotator", KEY, *features).alias("h"),
+        annotations.select("annotator", KEY, *features, *keep).alias("h"),
         F.col(f"p.{KEY}") == F.col(f"h.{KEY}"),
     )
     return joined.select(
         "h.annotator",
         F.col(f"p.{KEY}").alias(KEY),
         *[_differs(f, null_is_match).alias(f) for f in features],
+        *keep,
     )
 
 
+def _counted(annotations: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Equal annotations as one row with their number, so that a conversation that fills the table is
+    small before it meets the join."""
+    return annotations.groupBy("annotator", KEY, *features).agg(F.count("*").alias("copies"))
+
+
 def mismatch_counts(
     predictions: DataFrame,
     annotations: DataFrame,
@@ -85,10 +99,13 @@ def mismatch_counts(
     null_is_match: bool = True,
 ) -> DataFrame:
     """Per annotator, how many conversations differ in each feature."""
-    return (
-        _compared(predictions, annotations, features, null_is_match)
-        .groupBy("annotator")
-        .agg(*[F.count_if(F.col(f)).alias(f"diff_{f}") for f in features])
+    people = _counted(annotations, features)
+    compared = _compared(predictions, people, features, null_is_match, keep=("copies",))
+    return compared.groupBy("annotator").agg(
+        *[
+            F.sum(F.when(F.col(f), F.col("copies")).otherwise(0)).alias(f"diff_{f}")
+            for f in features
+        ]
     )
 
 
@@ -126,8 +143,9 @@ def disagreement_sets(
 
     Sets, so that a list never outgrows the number of annotators.
     """
+    people = _counted(annotations, features)
     return (
-        mismatch_fields(predictions, annotations, features, null_is_match)
+        mismatch_fields(predictions, people, features, null_is_match)
         .groupBy(KEY)
         .agg(*[F.array_sort(F.collect_set(f)).alias(f) for f in features])
     )

@@ -154,7 +154,7 @@ def _make_lexicon_annotator() -> annotate.LexiconAnnotator:
 _on(
     A.chat_log,
     assemble_conversations=lambda chat: documents_of(chat).select(
-        "INTERACTION_ID", "PART", F.size("chats").alias("messages"), "json_string"
+        "INTERACTION_ID", "PART", "SLICE", F.size("chats").alias("messages"), "json_string"
     ),
     conversation_json=lambda chat: documents_of(chat).select("INTERACTION_ID", "json_string"),
     render_prompt=lambda chat: conversations.render_prompt(
@@ -170,7 +170,7 @@ _on(
         redact.pii_redact(chat),
         lambda docs: annotate.annotate_with_lexicon(docs, A.LEXICON),
         [f for f in A.FEATURES if f.name in A.LEXICON],
-    ).drop("PART", "response"),
+    ).drop("PART", "SLICE", "response"),
 )
 
 _on(

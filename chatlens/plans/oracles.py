@@ -259,7 +259,7 @@ _register(
 # Conversations and responses
 
 DOCS = {
-    "docs": "SELECT INTERACTION_ID, 0::BIGINT AS PART, count(*) AS messages, CAST(to_json(list("
+    "docs": "SELECT INTERACTION_ID, 0::BIGINT AS PART, 0::BIGINT AS SLICE, count(*) AS messages, CAST(to_json(list("
     "{'USERNICK': USERNICK, 'USERTYPE': USERTYPE, 'AN_MSGTEXT': t} ORDER BY EVENT_ID, USERNICK, USERTYPE, t)) AS VARCHAR) AS json_string"
     f" FROM (SELECT *, {REDACTED} AS t FROM chat) GROUP BY INTERACTION_ID"
 }

@@ -34,9 +34,36 @@ def test_a_long_conversation_becomes_parts_that_join_to_the_whole(spark):
     assert sum((rows[("hot", p)] for p in range(3)), []) == [f"m{i}" for i in range(1, 26)]
 
 
-def test_assembly_takes_one_shuffle(spark):
-    docs = conversations.conversation_json(conversations.assemble_conversations(events(spark, ("a", 1, "n", "CLIENT", "x"))))
-    assert docs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+def test_repeated_event_numbers_are_sliced(spark):
+    """A third of all rows in one conversation, under few event numbers."""
+    log = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 500)).alias("INTERACTION_ID"),
+        (F.col("id") % 4 + 1).cast("int").alias("EVENT_ID"),
+        F.lit("n").alias("USERNICK"),
+        F.lit("CLIENT").alias("USERTYPE"),
+        F.col("id").cast("string").alias("AN_MSGTEXT"),
+    )
+    docs = conversations.assemble_conversations(log, max_messages=100).collect()
+    assert max(len(r.chats) for r in docs) < 200
+    assert {r.SLICE for r in docs if r.INTERACTION_ID != "hot"} == {0}
+    assert len({r.SLICE for r in docs if r.INTERACTION_ID == "hot"}) == 10
+    texts = [m.AN_MSGTEXT for r in docs for m in r.chats]
+    assert sorted(texts) == sorted(str(i) for i in range(3000))
+
+
+def test_messages_are_shuffled_once(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.col("conv_id").alias("INTERACTION_ID"),
+        F.col("turn").alias("EVENT_ID"),
+        F.col("role").alias("USERNICK"),
+        F.col("role").alias("USERTYPE"),
+        F.col("text").alias("AN_MSGTEXT"),
+    )
+    docs = conversations.conversation_json(conversations.assemble_conversations(log))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("FileScan parquet [conv_id#") == 2 and plan.count(",text#") >= 1
+    assert "ReadSchema: struct<conv_id:bigint,turn:bigint>" in plan
 
 
 def test_prompt(spark):
