@@ -62,6 +62,14 @@ def test_nulls_alone_make_no_mismatch(spark, sf_dir):
     assert len(rows) == 4 and all(r.diff_satisfaction == 0 for r in rows)
 
 
+def test_known_answers_for_four_conversations_in_ten(spark, sf_dir):
+    model, people = _compared(spark, sf_dir)
+    some = people.filter(F.substring("INTERACTION_ID", -1, 1) < "4")
+    rows = agreement.mismatch_counts(model, some, A.COMPARED).orderBy("annotator").collect()
+    assert [r.diff_resolution for r in rows] == [4, 3, 2, 1]
+    assert [r.diff_language_level for r in rows] == [2, 1, 1, 1]
+
+
 def test_one_join_serves_all_annotators(spark):
     model, people = frames(spark)
     plan = agreement.mismatch_with_average(agreement.mismatch_counts(model, people, FEATURES))
