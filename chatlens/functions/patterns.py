@@ -128,10 +128,10 @@ REDACTED_CATEGORIES = (
 NO_MATCH = "False"
 
 #: Optional replacement for IBAN: the default one takes digits only after the check digits and so
-#: misses the countries that put letters there.
+#: misses the countries that put letters there. Capitals only, or runs of short words would match.
 IBAN_GENERAL = replace(
     IBAN,
-    regex=r"\b[A-Za-z]{2}[0-9]{2}(?: ?[0-9A-Za-z]{4}){2,7}(?: ?[0-9A-Za-z]{1,3})?\b",
+    regex=r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b",
     forms=("[0-9]{2}",),
 )
 

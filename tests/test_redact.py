@@ -58,7 +58,7 @@ def test_flags(spark, text, category, expected):
 
 def test_general_iban(spark):
     patterns = (P.IBAN_GENERAL,)
-    df = texts(spark, "IT60X0542811101000000123456", "GB29 6016 1331 9268 1912", "no iban")
+    df = texts(spark, "IT60X0542811101000000123456", "GB29 6016 1331 9268 1912", "AB12 this that from")
     assert [r.IBAN for r in redact.pii_flags(df, patterns=patterns).collect()] == [True, True, False]
 
 
@@ -214,3 +214,16 @@ def test_counts_take_one_scan_and_redaction_no_shuffle(spark, sf_dir):
     assert counts.count("FileScan parquet [MSGTEXT") + counts.count("FileScan parquet [text") == 1
     redacted = redact.pii_label(redact.pii_redact(df))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in redacted
+
+
+def test_redaction_of_a_stream(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("MSGTEXT"))
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    query = redact.pii_redact(stream).writeStream.format("memory").queryName("redacted_stream").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    streamed = sorted(r.AN_MSGTEXT for r in spark.table("redacted_stream").collect())
+    assert streamed == sorted(r.AN_MSGTEXT for r in redact.pii_redact(docs).collect())
