@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import quality_rules
+from chatlens.llm import license_templates, quality_rules, secret_ownership, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ownership.scan_secrets(_table(spark, sf_dir, "documents")).drop(
+        "found", "text_key"
+    )
+
+
+def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_templates.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def keys(values):
+        return spark.createDataFrame([(v,) for v in values], "key string")
+
+    rules = {verdict: keys(values) for verdict, values in url_filter.RULES.items()}
+    return url_filter.filter_urls(
+        _table(spark, sf_dir, "pages"), rules, keys(url_filter.LISTED)
+    ).drop("listed")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -28,9 +48,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_ownership": op1_secret_ownership,
+    "op2_license_templates": op2_license_templates,
+    "op5_url_filter": op5_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_url_filter": url_filter.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
