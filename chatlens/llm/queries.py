@@ -5,7 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import license_templates, quality_rules, secret_ownership, url_filter
+from chatlens.llm import (
+    license_templates,
+    quality_classifier,
+    quality_rules,
+    secret_ownership,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +40,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("listed")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labelled = quality_classifier.labelled_texts(docs, _table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, labelled)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -51,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_license_templates": op2_license_templates,
     "op5_url_filter": op5_url_filter,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
