@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from chatlens.llm import (
     license_templates,
     quality_classifier,
     quality_rules,
+    retrieval_packing,
     secret_ownership,
+    token_transducer,
     url_filter,
 )
 
@@ -30,6 +33,15 @@ def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_templates.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        with_ids=False,
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     def keys(values):
         return spark.createDataFrame([(v,) for v in values], "key string")
@@ -40,6 +52,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("listed")
 
 
+def op8_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_transducer.count_tokens(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labelled = quality_classifier.labelled_texts(docs, _table(spark, sf_dir, "labels"))
@@ -62,7 +80,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_license_templates": op2_license_templates,
+    "op3_retrieval_packing": op3_retrieval_packing,
     "op5_url_filter": op5_url_filter,
+    "op8_token_transducer": op8_token_transducer,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
