@@ -12,6 +12,7 @@ from chatlens.llm import (
     quality_rules,
     retrieval_packing,
     secret_ownership,
+    substring_dedup,
     token_transducer,
     url_filter,
 )
@@ -52,6 +53,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("listed")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_repeats(_table(spark, sf_dir, "documents")).drop("repeats")
+
+
 def op8_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op2_license_templates": op2_license_templates,
     "op3_retrieval_packing": op3_retrieval_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_token_transducer": op8_token_transducer,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
