@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.llm import (
+    jaccard_join,
     license_templates,
     quality_classifier,
     quality_rules,
@@ -57,6 +58,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.find_repeats(_table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op8_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op3_retrieval_packing": op3_retrieval_packing,
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_token_transducer": op8_token_transducer,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
