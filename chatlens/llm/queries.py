@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.llm import (
+    decontamination,
     jaccard_join,
     license_templates,
     quality_classifier,
@@ -44,6 +45,12 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     def keys(values):
         return spark.createDataFrame([(v,) for v in values], "key string")
@@ -91,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_license_templates": op2_license_templates,
     "op3_retrieval_packing": op3_retrieval_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_jaccard_join": op7_jaccard_join,
