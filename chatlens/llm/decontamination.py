@@ -19,12 +19,11 @@ repeated rows too; an empty table of either kind gives an empty result; other co
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chatlens.llm.blocks import WORDLIKE, Words, blocks, grams, mix
 from chatlens.llm.shared import texts_of
@@ -253,6 +252,20 @@ def _matched(texts: DataFrame, ids: list, items: list[str], similarity: float) -
     return texts.mapInArrow(run, LEAKS)
 
 
+def _item_blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the items, at most ``ITEM_WORDS`` words at a time; one block at least."""
+    ids, held, size, any_ = [], [], 0, False
+    for row in texts_of(items, "item_id", "text").orderBy("doc_id", "text").toLocalIterator():
+        ids.append(row["doc_id"])
+        held.append(row["text"])
+        size += len(row["text"].split()) + 1
+        if size >= ITEM_WORDS:
+            yield ids, held
+            ids, held, size, any_ = [], [], 0, True
+    if ids or not any_:
+        yield ids, held
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -265,21 +278,26 @@ def find_leaks(
     ``items`` has ``item_id`` and ``text``. Documents without a leak give no row.
     """
     texts = texts_of(docs, id_column, text_column)
-    out, ids, held, size = None, [], [], 0
-    rows = texts_of(items, "item_id", "text").orderBy("doc_id", "text").toLocalIterator()
-    for row in rows:
-        ids.append(row["doc_id"])
-        held.append(row["text"])
-        size += len(row["text"].split()) + 1
-        if size >= ITEM_WORDS:
-            part = _matched(texts, ids, held, similarity)
-            out = part if out is None else out.unionAll(part)
-            ids, held, size = [], [], 0
-    part = _matched(texts, ids, held, similarity)
-    return part if out is None else out.unionAll(part)
+    parts = [_matched(texts, *part, similarity) for part in _item_blocks(items)]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without those that leak an item; rows without an id stay."""
-    leaked = find_leaks(docs, items, similarity).select("doc_id").dropna().distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose ``text`` leaks an item; all columns as they are, in one pass per block of items."""
+
+    def kept(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            prepared = Items(*shared.value, similarity)
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                for block in blocks(batch.column("text")) if prepared.ids else ():
+                    for text, *_ in prepared.leaks(Words(block, WORDLIKE, lower=True)):
+                        keep[block.first + text] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for part in _item_blocks(items):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+        docs = docs.mapInArrow(kept(shared), docs.schema)
+    return docs

@@ -451,3 +451,17 @@ def join_components(
         .otherwise(F.coalesce("first", "doc_id"))
         .alias("component_id"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """``docs`` without those linked, directly or not, to one with a smaller ``doc_id``; all columns as they are."""
+    dropped = (
+        join_components(docs, n, p, q)
+        .where("doc_id > component_id")
+        .select(F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key"))
+        .distinct()
+    )
+    same = (F.col("doc_id").cast("long") == F.col("dropped_id")) & (
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("dropped_key")
+    )
+    return docs.join(dropped.hint("shuffle_hash"), same, "left_anti")

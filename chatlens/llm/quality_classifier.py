@@ -243,3 +243,19 @@ def classify(docs: DataFrame, labelled: DataFrame, training: Training = Training
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose ``text`` scores below ``least``; all columns as they are, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for block in blocks(batch.column("text")):
+                text, at, value = features(block)
+                dots = np.bincount(text, shared.value[at] * value, block.count)
+                keep[block.first : block.first + block.count] = _sigmoid(dots) >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

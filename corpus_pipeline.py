@@ -2,15 +2,62 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chatlens.llm import (
+    decontamination,
+    jaccard_join,
+    quality_classifier,
+    retrieval_packing,
+    secret_ownership,
+)
 from chatlens.llm.shared import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: Training a model, a tokenizer and edit distances are not expressible in SQL; tests compare with brute force.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = quality_classifier.train(quality_classifier.labelled_texts(docs, labels))
+    return quality_classifier.keep_good(docs, weights)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 of their five-word shingles, the one with the least id."""
+    return jaccard_join.keep_one_of_each(docs, 5, 80, 100)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage within the edit distance of a benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with credentials that look live masked."""
+    return secret_ownership.redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return retrieval_packing.pack(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        with_ids=False,
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+#: A trained model, a tokenizer and edit distances are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
