@@ -461,7 +461,7 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) ->
         .select(F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key"))
         .distinct()
     )
-    same = (F.col("doc_id").cast("long") == F.col("dropped_id")) & (
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("dropped_key")
+    same = (F.col("d.doc_id").cast("long") == F.col("x.dropped_id")) & (
+        F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit(""))) == F.col("x.dropped_key")
     )
-    return docs.join(dropped.hint("shuffle_hash"), same, "left_anti")
+    return docs.alias("d").join(dropped.alias("x").hint("shuffle_hash"), same, "left_anti")

@@ -262,7 +262,7 @@ def redact_secrets(
         .dropDuplicates(["doc_id", "text_key"])
         .withColumnsRenamed({"doc_id": "live_id", "text_key": "live_key"})
     )
-    text, live = F.col("text"), F.col("live")
+    text, live = F.col("d.text"), F.col("s.live")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto"))
     cut = lambda a, b: F.substr(text, a + 1, b - a)
     replaced = F.aggregate(
@@ -279,16 +279,13 @@ def redact_secrets(
         ),
         lambda acc: F.concat(acc["out"], F.substr(text, acc["upto"] + 1)),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("live_id")) & (
-        F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("live_key")
-    )
-    out = docs.join(spans, same, "left").withColumn(
-        "text", F.when(live.isNotNull(), replaced).otherwise(text)
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.live_id")) & (
+        F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("s.live_key")
     )
+    masked = F.when(live.isNotNull(), replaced).otherwise(text)
+    new = {"text": masked}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn(
-            "n_chars",
-            F.when(live.isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")),
-        )
-    return out.select(*docs.columns)
+        size = F.length(masked).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(live.isNotNull(), size).otherwise(F.col("d.n_chars"))
+    out = docs.alias("d").join(spans.alias("s"), same, "left")
+    return out.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
