@@ -3,9 +3,9 @@
 import pytest
 from oracle import connect, difference
 
-from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from __spark_entry__ import entry
+from chatlens.plans.catalog import QUERIES
+from chatlens.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
