@@ -15,7 +15,8 @@ class Pattern:
 
     Most texts hold none, so each pattern comes with a cheap screen that every match passes: a literal
     it contains (``needs``) and simpler regexes that all occur in it (``forms``, cheapest first).
-    ``forms_with_letters`` tells that a form can match letters.
+    ``forms_with_letters`` tells that a form can match letters. ``guard`` is a form that every match holds
+    and that takes linear time on any text; it is tested on the very text the regex is to run on.
     """
 
     name: str
@@ -24,6 +25,7 @@ class Pattern:
     needs: str | None = None
     forms: tuple[str, ...] = ()
     forms_with_letters: bool = False
+    guard: str | None = None
 
 
 _DIGITS = "[0-9]{4}"
@@ -48,13 +50,22 @@ CODICE_FISCALE = Pattern(
 )
 # Matches what \b[\w\-\.]+@([\w-]+\.)+[\w-]{2,}\b matches. The engine recurses once per repeat of a
 # group, and overflows its stack on hosts of a few thousand labels; possessive repeats do not recurse.
-# The first branch takes a whole host whose last label can end it, the second one goes back to an
-# earlier label, within hosts of up to 200 labels (names have 127 at most).
+# A label can end an address unless it is one character followed by hyphens only (_DEAD); the address
+# ends at the last word character of the last label that can (_LIVE). Each repeat takes dead labels and
+# the live one after them, so what trails the last live label is given back as a whole.
+_DEAD = r"\.[\w-]-*+(?![\w-])"
+_LIVE = r"\.[\w-]-*+\w(?:-*+\w)*+"
+_HOST = rf"[\w-]++(?:-*+(?:{_DEAD})*+{_LIVE})++\b"
+# A letter beyond ASCII right after the host moves the last word boundary: the address then ends behind
+# the last hyphen of the last label, or else at the end of an earlier one.
+_INNER = rf"(?:-*+(?:{_DEAD}(?=\.))*+{_LIVE}(?=-*+\.))"
+_HYPHEN = rf"[\w-]++{_INNER}*+-*+(?:{_DEAD}(?=\.))*+\.[\w-](?:\w*+-)++\b"
 EMAIL = Pattern(
     "EMAIL",
-    r"\b[\w\-\.]++@(?:[\w-]++(?:\.[\w-]++)++(?<=[\w-]{2})\b|([\w-]+\.){1,200}[\w-]{2,}\b)",
+    rf"\b[\w\-\.]++@(?:{_HYPHEN}(?![\w.-])|{_HOST}|{_HYPHEN}|[\w-]++{_INNER}++\b)",
     "Email",
     needs="@",
+    guard=r"@[\w-]++\.[\w-]",
 )
 IBAN = Pattern(
     "IBAN",
@@ -153,9 +164,23 @@ def first_test(pattern: Pattern) -> str | None:
     return pattern.needs or next(iter(pattern.forms), None)
 
 
+def matches(text: Column, pattern: Pattern) -> Column:
+    """Whether the regex matches, behind its guard."""
+    test = text.rlike(pattern.regex)
+    return test if pattern.guard is None else text.rlike(pattern.guard) & test
+
+
+def replaced(text: Column, pattern: Pattern) -> Column:
+    """The text with the label in place of every match, behind the pattern's guard."""
+    new = F.regexp_replace(text, pattern.regex, quoted_replacement(pattern.label))
+    if pattern.guard is None:
+        return new
+    return F.when(text.rlike(pattern.guard), new).otherwise(text)
+
+
 def found(text: Column, pattern: Pattern) -> Column:
     """Whether the text holds a match; null for null text."""
-    return passes_screen(text, pattern) & text.rlike(pattern.regex)
+    return passes_screen(text, pattern) & matches(text, pattern)
 
 
 # Labels of letters, brackets and inner blanks cannot be part of anything a literal or a form without

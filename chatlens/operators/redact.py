@@ -22,8 +22,9 @@ from chatlens.functions.patterns import (
     by_name,
     first_test,
     found,
+    matches,
     passes_screen,
-    quoted_replacement,
+    replaced,
     screen_outlives,
 )
 from chatlens.schema import CHAT_COLUMNS
@@ -50,7 +51,7 @@ def _flags(
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Frame with screens, and per pattern whether the text holds a match."""
     df, screen = _screened(df, text, patterns)
-    return df, {p.name: F.col(screen[p.name]) & F.col(text).rlike(p.regex) for p in patterns}
+    return df, {p.name: F.col(screen[p.name]) & matches(F.col(text), p) for p in patterns}
 
 
 def pii_flags(
@@ -143,13 +144,13 @@ def pii_redact(
     step = step.withColumn(column, F.col(text))
     blocks = [list(b) for _, b in groupby(enumerate(patterns), key=lambda ip: first_test(ip[1]))]
     for block in blocks:
-        replaced = F.col(column)
+        new = F.col(column)
         for _, p in block:
-            replaced = F.regexp_replace(replaced, p.regex, quoted_replacement(p.label))
+            new = replaced(new, p)
         if all(screen_outlives(p, patterns[:i]) for i, p in block):
             screens = dict.fromkeys(screen[p.name] for _, p in block)
-            replaced = F.when(_any_of(list(screens)), replaced).otherwise(F.col(column))
-        step = step.withColumn(column, replaced)
+            new = F.when(_any_of(list(screens)), new).otherwise(F.col(column))
+        step = step.withColumn(column, new)
     return step.select(*kept, column)
 
 
@@ -167,7 +168,7 @@ def pii_redact_first_category(
         text,
         patterns,
         precedence,
-        lambda p: F.regexp_replace(source, p.regex, quoted_replacement(p.label)),
+        lambda p: replaced(source, p),
         source,
         column,
     )
