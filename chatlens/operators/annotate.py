@@ -28,17 +28,17 @@ def annotate(
     batch_size: int = 16,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add one response per row.
+    """Add one response per row; only the text goes to Python.
 
     ``make_annotator`` is shipped to the workers and called once per partition, so it may open
-    connections or load models. If a batch fails, its rows are tried one by one, and a row that fails
-    gets the text ``Error: Type; args``. ``partitions`` spreads the rows over that many tasks: slow
-    annotators want more, and smaller, partitions than a plan made by bytes gives. Write the result to
-    a table before using it twice, as a lost executor means that its prompts are asked again.
+    connections or load models. It is asked ``batch_size`` prompts at a time. If a batch fails, its rows are
+    tried one by one, and a row that fails gets the text ``Error: Type; args``. ``partitions`` spreads the
+    rows over that many tasks: slow annotators want more, and smaller, partitions than a plan made by bytes
+    gives. Write the result to a table before using it twice, as a lost executor means that its prompts are
+    asked again.
     """
     if partitions is not None:
         docs = docs.repartition(partitions)
-    schema = T.StructType(docs.schema.fields + [T.StructField(column, T.StringType())])
 
     def attempt(ask: Annotator, prompts: list[str]) -> list[str]:
         try:
@@ -51,14 +51,17 @@ def annotate(
                 return [answer for p in prompts for answer in attempt(ask, [p])]
             return [f"Error: {type(error).__name__}; {error.args!r}"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def respond(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ask = make_annotator()
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                rows = batch.iloc[start : start + batch_size]
-                yield rows.assign(**{column: attempt(ask, rows[text].tolist())})
+            prompts = batch.tolist()
+            starts = range(0, len(prompts), batch_size)
+            answers = [a for i in starts for a in attempt(ask, prompts[i : i + batch_size])]
+            yield pd.Series(answers, dtype=object)
 
-    return docs.mapInPandas(run, schema)
+    # Answers may differ from one call to the next, so no plan may ask twice where one was meant.
+    response = F.pandas_udf(respond, T.StringType()).asNondeterministic()
+    return docs.withColumn(column, response(F.col(text)))
 
 
 Lexicon = dict[str, tuple[tuple[str, str], ...]]
@@ -110,21 +113,46 @@ class LexiconAnnotator:
         ]
 
 
+def _plain_json(texts: pd.Series) -> pd.Series:
+    """JSON objects that Python reads, written so that every parser reads them; null for anything else."""
+
+    def plain(text: str | None) -> str | None:
+        try:
+            value = json.loads(text, parse_constant=str)
+        except (TypeError, ValueError, RecursionError):
+            return None
+        return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
+
+    return texts.map(plain).astype(object)
+
+
 def parse_responses(
     df: DataFrame, text: str = "response", column: str = "parsed", success: str = "success"
 ) -> DataFrame:
     """Add the parsed response and whether it is a JSON object; anything else parses to null.
 
-    The parser stops at the end of the first value and passes over what follows. The text is therefore
-    parsed inside an object and inside an array: whatever could close the one early cannot close the
-    other. Objects that repeat a key and the non-standard number NaN do not count as JSON.
+    Of a repeated key the last value counts, and NaN, Infinity and -Infinity, which JSON does not know, are
+    read as these texts. Spark's parser refuses both, so objects it refuses are rewritten in Python first; all
+    others stay in the JVM. The parser stops at the end of the first value and passes over what follows. The
+    text is therefore parsed inside an object and inside an array: whatever could close the one early cannot
+    close the other.
     """
     source = F.col(text)
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), source, F.lit("}")))
     in_array = F.try_parse_json(F.concat(F.lit("["), source, F.lit("]")))
-    is_object = source.rlike(r"^[ \t\r\n]*\{")
-    parsed = F.when(is_object & in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
-    return df.withColumn(column, parsed).withColumn(success, F.col(column).isNotNull())
+    is_object = F.coalesce(source.rlike(r"^[ \t\r\n]*\{"), F.lit(False))
+    strict = F.when(
+        is_object,
+        F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant")),
+    )
+    refused = F.when(is_object & F.col(column).isNull(), source)
+    return (
+        df.withColumn(column, strict)
+        .withColumn("__plain", F.pandas_udf(_plain_json, T.StringType())(refused))
+        .withColumn(column, F.coalesce(F.col(column), F.try_parse_json("__plain")))
+        .drop("__plain")
+        .withColumn(success, F.col(column).isNotNull())
+    )
 
 
 def _path(name: str, nested: bool) -> str:
@@ -132,17 +160,44 @@ def _path(name: str, nested: bool) -> str:
     return "$" + "".join(f'["{key}"]' for key in keys)
 
 
+def _other_keys(declared: frozenset[str]):
+    """The keys of responses that no feature declares, as JSON text; nested ones under their path."""
+
+    def leaves(value: dict, path: str) -> Iterator[tuple[str, object]]:
+        for key, item in value.items():
+            name = f"{path}.{key}" if path else key
+            if name in declared:
+                continue
+            if isinstance(item, dict) and item:
+                yield from leaves(item, name)
+            else:
+                yield name, item
+
+    def other(text: str | None) -> str | None:
+        found = dict(leaves(json.loads(text), "")) if text else {}
+        return json.dumps(found, ensure_ascii=False, separators=(",", ":")) if found else None
+
+    @F.pandas_udf(T.StringType())
+    def others(texts: pd.Series) -> pd.Series:
+        return texts.map(other).astype(object)
+
+    return others
+
+
 def flatten_features(
     df: DataFrame,
     features: Sequence[Feature],
     column: str = "parsed",
     drop: Sequence[str] = ("chats", "json_string", "prompt"),
+    other: str | None = "other_keys",
 ) -> DataFrame:
     """One column per feature from the parsed response: arrays for lists, text for the others.
 
     A feature is looked for under its name, then under its aliases, where dots lead into nested
-    objects. A list feature that comes as a single text becomes a list of one.
+    objects. A list feature that comes as a single text becomes a list of one. Whatever else a response
+    holds is kept in ``other`` as JSON text, nested keys under their dotted path; null if there is nothing.
     """
+    names = [n for f in features for n in (f.name, *f.aliases)]
 
     def read(feature: Feature) -> Column:
         candidates = []
@@ -159,12 +214,45 @@ def flatten_features(
                     candidates.append(value)
         return F.coalesce(*candidates)
 
+    extra = []
+    if other is not None:
+        # Only responses with a key that is no feature go to Python.
+        keys = F.map_keys(F.try_variant_get(column, "$", "map<string, variant>"))
+        undeclared = F.size(F.array_except(keys, F.array(*map(F.lit, names)))) > 0
+        text = F.when(undeclared, F.to_json(F.col(column)))
+        extra = [_other_keys(frozenset(names))(text).alias(other)]
     return df.select(
         *[c for c in df.columns if c not in (*drop, column)],
         *[read(f).alias(f.name) for f in features],
+        *extra,
     )
 
 
+def merge_parts(
+    parts: DataFrame, features: Sequence[Feature], key: str = "INTERACTION_ID", part: str = "PART"
+) -> DataFrame:
+    """One row of features per conversation from rows per part.
+
+    Of a single value the first that is available counts, in the order of parts; lists are united in this
+    order, each item once. ``success`` tells whether any part was read; other columns are dropped.
+    """
+    position = F.col(part)
+    columns = []
+    for f in features:
+        value = F.col(f.name)
+        usable = value.isNotNull() if f.is_list else value.isNotNull() & (value != NOT_AVAILABLE)
+        if f.is_list:
+            held = F.array_sort(
+                F.collect_list(F.when(usable, F.struct(position.alias("p"), value.alias("v"))))
+            )
+            united = F.array_distinct(F.flatten(F.transform(held, lambda x: x["v"])))
+            columns.append(F.when(F.count(F.when(usable, 1)) > 0, united).alias(f.name))
+        else:
+            first = F.min_by(value, F.when(usable, position))
+            columns.append(F.coalesce(first, F.max(value)).alias(f.name))
+    return parts.groupBy(key).agg(F.bool_or("success").alias("success"), *columns)
+
+
 def flatten_struct(df: DataFrame, column: str, sep: str = "_") -> DataFrame:
     """Replace a struct column by its leaves, named by their path; arrays stay, the rest becomes text."""
 

@@ -1,10 +1,11 @@
 """Conversations as documents.
 
-A conversation becomes one row with its messages in event order. So that no row grows without bound,
-a row covers ``block_events`` consecutive event numbers; longer conversations go on in rows with a
-higher PART. Should event numbers repeat so often that a part still holds more than ``max_messages``
-rows, the part is spread over rows with a higher SLICE, by a hash of the events. Nothing is left out:
-the messages of all rows of a conversation, sorted, are the conversation.
+A conversation becomes one row with its messages in event order: that is the unit that is annotated and
+compared. The row is bounded by the conversation's own length; one beyond Spark's row limit fails.
+
+For annotators that cannot read so much at once, the caller may choose ``block_events``: rows then cover so
+many consecutive event numbers, numbered by PART, whatever the length of the log, and ``merge_parts`` makes
+one row of features per conversation again.
 """
 
 from collections.abc import Mapping, Sequence
@@ -12,51 +13,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_EVENTS = 1_000
-MAX_MESSAGES = 100_000
-
 # Fields of a message within a conversation.
 MESSAGE_FIELDS = ("USERNICK", "USERTYPE", "AN_MSGTEXT")
 
 
-def _part(block_events: int) -> Column:
-    return F.floor((F.coalesce("EVENT_ID", F.lit(1)) - 1) / block_events).cast("int")
-
-
-def _with_slice(chat: DataFrame, max_messages: int) -> DataFrame:
-    """Number the slices of parts with too many rows; all other rows are in slice 0.
-
-    There is one such part per ``max_messages`` events at most, which bounds what is broadcast. The
-    parts are counted over the key columns alone, with a partial aggregate.
-    """
-    oversize = (
-        chat.groupBy("INTERACTION_ID", "PART")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > max_messages)
-        .select("INTERACTION_ID", "PART", F.ceil(F.col("n") / max_messages).alias("slices"))
-    )
-    events = chat.columns
-    sliced = F.pmod(F.xxhash64(*events), F.col("slices")).cast("int")
-    return chat.join(F.broadcast(oversize), ["INTERACTION_ID", "PART"], "left").select(
-        *events, F.coalesce(sliced, F.lit(0)).alias("SLICE")
-    )
-
-
 def assemble_conversations(
     chat: DataFrame,
     fields: Sequence[str] = MESSAGE_FIELDS,
-    block_events: int = BLOCK_EVENTS,
-    max_messages: int = MAX_MESSAGES,
+    block_events: int | None = None,
 ) -> DataFrame:
-    """INTERACTION_ID, PART, SLICE and the array ``chats`` of messages in event order.
+    """INTERACTION_ID (and PART, if ``block_events`` is given) and the array ``chats`` in event order.
 
-    The messages are shuffled once. Those without event number come first, in PART 0; equal numbers
-    are ordered by the fields themselves.
+    The messages are shuffled once. Events without INTERACTION_ID belong to no conversation and are left
+    out. Messages without event number come first, in PART 0; equal numbers are ordered by the fields.
     """
-    events = _with_slice(chat.withColumn("PART", _part(block_events)), max_messages)
+    keys = ["INTERACTION_ID"]
+    events = chat.filter(F.col("INTERACTION_ID").isNotNull())
+    if block_events is not None:
+        keys.append("PART")
+        number = F.coalesce("EVENT_ID", F.lit(1)) - 1
+        events = events.withColumn("PART", F.floor(number / block_events).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("EVENT_ID", *fields)))
     return (
-        events.groupBy("INTERACTION_ID", "PART", "SLICE")
+        events.groupBy(*keys)
         .agg(ordered.alias("chats"))
         .withColumn(
             "chats", F.transform("chats", lambda m: F.struct(*[m[f].alias(f) for f in fields]))

@@ -15,10 +15,23 @@ from chatlens.operators.insights import coalesce_variant_columns, parse_list_tex
 
 KEY = "(c.conv_id*50+c.turn)"
 
+# Every event is a turn: 50 in a row make a conversation. Where no turn was written the user of the event
+# takes part, and says what the event tells; users go from one conversation to the next, but for every
+# fourth conversation, which keeps its own users and has no agents but those of written turns.
+_ALONE = "floor(e.event_id/50)%4=1"
+TURN_COLUMNS = {
+    "conv_id": "cast(floor(e.event_id/50) AS bigint)",
+    "turn": "e.event_id%50",
+    "ts": "e.ts",
+    "role": f"CASE WHEN c.conv_id IS NOT NULL THEN c.role WHEN e.user_id%3=0 OR {_ALONE} THEN 'user' WHEN e.user_id%3=1 THEN 'assistant' ELSE 'system' END",
+    "text": "CASE WHEN c.conv_id IS NOT NULL THEN c.text ELSE e.props END",
+    "participant": f"CASE WHEN c.conv_id IS NULL THEN concat('u',cast(e.user_id AS string), CASE WHEN {_ALONE} THEN concat('-',cast(floor(e.event_id/50) AS bigint)) ELSE '' END) END",
+}
+
 RAW_COLUMNS = {
-    "DATE_TIME": f"CASE WHEN {KEY}%89=7 THEN 'corrupt' ELSE substring(cast(e.ts AS string),1,19) END",
+    "DATE_TIME": f"CASE WHEN {KEY}%89=7 THEN 'corrupt' ELSE substring(cast(c.ts AS string),1,19) END",
     "INTERACTION_ID": f"CASE WHEN {KEY}%97=5 THEN NULL ELSE lpad(cast(c.conv_id AS string),16,'0') END",
-    "USER_ID": "concat(cast(c.conv_id AS string),'-',c.role, CASE WHEN c.role='assistant' AND c.turn<=1 THEN '-bot' ELSE '' END)",
+    "USER_ID": "coalesce(c.participant, concat(cast(c.conv_id AS string),'-',c.role, CASE WHEN c.role='assistant' AND c.turn<=1 THEN '-bot' ELSE '' END))",
     "TIMESHIFT": "cast(c.turn*37 + length(c.text)%30 AS string)",
     "VISIBILITY": "'ALL'",
     "EVENT_ID": "cast(c.turn+1 AS string)",
@@ -68,9 +81,11 @@ ANNOTATION_COLUMNS = {
 
 RESPONSE_COLUMNS = {
     "INTERACTION_ID": "INTERACTION_ID",
-    "response": """CASE conv_id%6 WHEN 0 THEN 'Error: RateLimitError; ()' WHEN 1 THEN '' WHEN 2 THEN NULL
+    "response": """CASE conv_id%8 WHEN 0 THEN 'Error: RateLimitError; ()' WHEN 1 THEN '' WHEN 2 THEN NULL
  WHEN 3 THEN concat('{"resolution":"', resolution, '","tone":{"client":"', client_tone, '"}}')
- WHEN 4 THEN concat('{"resolution":"', resolution, '","emotions":["Joy","Hope"],"extra":1}')
+ WHEN 4 THEN concat('{"resolution":"', resolution, '","emotions":["Joy",null,"Hope|x"],"extra":1}')
+ WHEN 5 THEN concat('{"resolution":"first","resolution":"', resolution, '"}')
+ WHEN 6 THEN concat('{"resolution":"', resolution, '","tone":{"client":"', client_tone, '","mood":NaN}}')
  ELSE '{"resolution": "Solved"' END""",
 }
 
@@ -159,8 +174,8 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw event log with corrupt rows, missing ids and exact copies."""
     conversations = table(spark, sf_dir, "conversations").alias("c")
     events = table(spark, sf_dir, "events").alias("e")
-    joined = conversations.join(events, F.expr(f"e.event_id = {KEY}"))
-    rows = _select(joined, RAW_COLUMNS)
+    turns = events.join(conversations, F.expr(f"e.event_id = {KEY}"), "left")
+    rows = _select(_select(turns, TURN_COLUMNS).alias("c"), RAW_COLUMNS)
     # The third event of every conversation comes twice.
     copies = F.when(F.col("EVENT_ID") == "3", F.array(F.lit(1), F.lit(2))).otherwise(
         F.array(F.lit(1))

@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 from chatlens.operators import agreement, annotate, clean, conversations, insights, redact, stats
 from chatlens.plans import adapters as A
 from chatlens.plans.stages import annotate_stage
-from chatlens.sources import sample_by_ids, sample_top_conversations
+from chatlens.sources import (
+    register_views,
+    rename_positional,
+    sample_by_ids,
+    sample_top_conversations,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +31,7 @@ LISTED_IDS = ("0000000000000003", "0000000000000017")
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Types that every engine writes alike: times and lists as text, integers as bigint."""
+    """Types that every engine writes alike: times as text, lists as JSON, integers as bigint."""
 
     def plain(field: T.StructField):
         col = F.col(f"`{field.name}`")
@@ -37,9 +42,9 @@ def comparable(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.IntegerType, T.ShortType)):
             return col.cast("bigint").alias(field.name)
         if isinstance(field.dataType, T.DecimalType):
-            return col.cast("bigint").alias(field.name)
+            return col.cast("double").alias(field.name)
         if isinstance(field.dataType, T.ArrayType):
-            return F.array_join(col, "|").alias(field.name)
+            return F.to_json(col, {"ignoreNullFields": "false"}).alias(field.name)
         return col
 
     return df.select(*[plain(f) for f in df.schema.fields])
@@ -62,8 +67,24 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) for c in df.columns])
 
 
+def view_in_sql(raw: DataFrame) -> DataFrame:
+    """A query in SQL text over a registered view."""
+    register_views({"raw_chat": raw})
+    return raw.sparkSession.sql("SELECT VISIBILITY, count(*) AS n FROM raw_chat GROUP BY VISIBILITY")
+
+
 _on(
     A.raw_log,
+    rename_positional=lambda raw: rename_positional(
+        raw.select("INTERACTION_ID", "EVENT_ID"), ("a", "b")
+    ),
+    drop_and_rename_columns=lambda raw: clean.rename_columns(
+        clean.drop_columns(
+            raw, *[c for c in raw.columns if c not in ("INTERACTION_ID", "EVENT_ID")], "unknown"
+        ),
+        {"INTERACTION_ID": "conversation", "missing": "x"},
+    ),
+    view_in_sql=view_in_sql,
     null_profile=clean.null_profile,
     find_error_rows=clean.find_error_rows,
     remove_error_rows=clean.remove_error_rows,
@@ -154,7 +175,7 @@ def _make_lexicon_annotator() -> annotate.LexiconAnnotator:
 _on(
     A.chat_log,
     assemble_conversations=lambda chat: documents_of(chat).select(
-        "INTERACTION_ID", "PART", "SLICE", F.size("chats").alias("messages"), "json_string"
+        "INTERACTION_ID", F.size("chats").alias("messages"), "json_string"
     ),
     conversation_json=lambda chat: documents_of(chat).select("INTERACTION_ID", "json_string"),
     render_prompt=lambda chat: conversations.render_prompt(
@@ -170,7 +191,7 @@ _on(
         redact.pii_redact(chat),
         lambda docs: annotate.annotate_with_lexicon(docs, A.LEXICON),
         [f for f in A.FEATURES if f.name in A.LEXICON],
-    ).drop("PART", "SLICE", "response"),
+    ).drop("response"),
 )
 
 _on(

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from chatlens.functions.features import DEFAULT_FEATURES, Feature
-from chatlens.operators.annotate import flatten_features, parse_responses
+from chatlens.operators.annotate import flatten_features, merge_parts, parse_responses
 from chatlens.operators.clean import (
     clean_chat,
     find_error_rows,
@@ -47,13 +47,21 @@ def annotate_stage(
     chat: DataFrame,
     annotator: Callable[[DataFrame], DataFrame],
     features: Sequence[Feature] = DEFAULT_FEATURES,
+    block_events: int | None = None,
 ) -> DataFrame:
-    """Redacted log to one row of features per conversation, or per part of a long one.
+    """Redacted log to one row of features per conversation.
 
-    ``annotator`` adds the ``response`` column to the documents.
+    ``annotator`` adds the ``response`` column to the documents. With ``block_events`` it is asked about blocks
+    of so many events, whose features are merged.
     """
-    answered = annotator(conversation_json(assemble_conversations(chat)))
-    return flatten_features(parse_responses(answered), features)
+    docs = conversation_json(assemble_conversations(chat, block_events=block_events))
+    return feature_stage(annotator(docs), features)
+
+
+def feature_stage(answered: DataFrame, features: Sequence[Feature]) -> DataFrame:
+    """Answered documents, or parts of them, to one row of features per conversation."""
+    rows = flatten_features(parse_responses(answered), features)
+    return merge_parts(rows, features) if "PART" in rows.columns else rows
 
 
 def run_stages(
@@ -63,6 +71,7 @@ def run_stages(
     annotator: Callable[[DataFrame], DataFrame],
     features: Sequence[Feature] = DEFAULT_FEATURES,
     sep: str = ";",
+    block_events: int | None = None,
 ) -> None:
     """Read a raw CSV log and write ``errors``, ``cleaned``, ``humans``, ``systems``, ``redacted``,
     ``responses`` and ``features`` as parquet below ``out_dir``.
@@ -78,7 +87,7 @@ def run_stages(
     write_table(split_system_messages(cleaned), f"{out_dir}/systems")
     write_table(redact_stage(cleaned), f"{out_dir}/redacted")
     redacted = read_chat_log(spark, f"{out_dir}/redacted", schema=ANONYMISED_CHAT, fmt="parquet")
-    docs = conversation_json(assemble_conversations(redacted))
-    write_table(annotator(docs), f"{out_dir}/responses")
+    docs = conversation_json(assemble_conversations(redacted, block_events=block_events))
+    write_table(annotator(docs).drop("chats", "json_string", "prompt"), f"{out_dir}/responses")
     answered = spark.read.parquet(f"{out_dir}/responses")
-    write_table(flatten_features(parse_responses(answered), features), f"{out_dir}/features")
+    write_table(feature_stage(answered, features), f"{out_dir}/features")

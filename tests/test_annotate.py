@@ -9,6 +9,7 @@ from chatlens.functions.features import CLOSED, CLOSED_LIST, DEFAULT_FEATURES, F
 from chatlens.operators import annotate, conversations
 from chatlens.plans import adapters as A
 from chatlens.plans.catalog import documents_of
+from chatlens.plans.stages import annotate_stage
 
 
 def events(spark, *rows):
@@ -34,21 +35,29 @@ def test_a_long_conversation_becomes_parts_that_join_to_the_whole(spark):
     assert sum((rows[("hot", p)] for p in range(3)), []) == [f"m{i}" for i in range(1, 26)]
 
 
-def test_repeated_event_numbers_are_sliced(spark):
-    """A third of all rows in one conversation, under few event numbers."""
-    log = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 500)).alias("INTERACTION_ID"),
-        (F.col("id") % 4 + 1).cast("int").alias("EVENT_ID"),
-        F.lit("n").alias("USERNICK"),
-        F.lit("CLIENT").alias("USERTYPE"),
-        F.col("id").cast("string").alias("AN_MSGTEXT"),
-    )
-    docs = conversations.assemble_conversations(log, max_messages=100).collect()
-    assert max(len(r.chats) for r in docs) < 200
-    assert {r.SLICE for r in docs if r.INTERACTION_ID != "hot"} == {0}
-    assert len({r.SLICE for r in docs if r.INTERACTION_ID == "hot"}) == 10
-    texts = [m.AN_MSGTEXT for r in docs for m in r.chats]
-    assert sorted(texts) == sorted(str(i) for i in range(3000))
+def test_a_long_conversation_is_one_document_and_one_feature_row(spark):
+    log = events(spark, *[("hot", i, "n", "CLIENT", f"m{i}") for i in range(2500, 0, -1)], (None, 1, "n", "CLIENT", "x"))
+    (row,) = conversations.assemble_conversations(log).collect()
+    assert [m.AN_MSGTEXT for m in row.chats] == [f"m{i}" for i in range(1, 2501)]
+    features = [Feature("a", CLOSED), Feature("b", CLOSED_LIST)]
+
+    def annotator(docs):
+        # Blocks answer with what their first message tells.
+        first = F.col("chats")[0]["AN_MSGTEXT"]
+        late = F.when(first == "m1", "NA").otherwise(first)
+        return docs.withColumn("response", F.to_json(F.struct(late.alias("a"), F.array(first, F.lit("x")).alias("b"))))
+
+    assert annotate_stage(log, annotator, features).count() == 1
+    (row,) = annotate_stage(log, annotator, features, block_events=1000).collect()
+    assert (row.INTERACTION_ID, row.success, row.a, row.b) == ("hot", True, "m1001", ["m1", "x", "m1001", "m2001"])
+
+
+def test_merging_parts(spark):
+    features = [Feature("a", CLOSED), Feature("b", CLOSED_LIST)]
+    rows = [("c", 1, True, "NA", None), ("c", 0, False, None, None), ("d", 2, True, "y", ["q", "r"]), ("d", 0, True, "x", ["r", "p"])]
+    parts = spark.createDataFrame(rows, "INTERACTION_ID string, PART int, success boolean, a string, b array<string>")
+    got = {r.INTERACTION_ID: (r.success, r.a, r.b) for r in annotate.merge_parts(parts, features).collect()}
+    assert got == {"c": (True, "NA", None), "d": (True, "x", ["r", "p", "q"])}
 
 
 def test_messages_are_shuffled_once(spark, sf_dir):
@@ -61,9 +70,16 @@ def test_messages_are_shuffled_once(spark, sf_dir):
     )
     docs = conversations.conversation_json(conversations.assemble_conversations(log))
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert plan.count("FileScan parquet [conv_id#") == 2 and plan.count(",text#") >= 1
-    assert "ReadSchema: struct<conv_id:bigint,turn:bigint>" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("FileScan parquet [conv_id#") == 1
+
+
+def test_only_the_text_goes_to_python(spark):
+    docs = spark.createDataFrame([("i", "t", 1)], "INTERACTION_ID string, json_string string, chats int")
+    answered = annotate.annotate(docs, lambda: lambda prompts: prompts).select("INTERACTION_ID", "response")
+    plan = answered._jdf.queryExecution().optimizedPlan().toString()
+    (line,) = [x for x in plan.splitlines() if "EvalPython" in x]
+    assert "json_string" in line and "chats" not in line and "INTERACTION_ID" not in line
 
 
 def test_prompt(spark):
@@ -120,6 +136,10 @@ def test_python_and_native_annotators_agree(spark, sf_dir):
         ('{"a":1},"w":2', False),
         ('{"a":1}],[{"b":2}', False),
         ('{"a":1}},{"b":{"c":2}', False),
+        ('{"a":1,"a":2}', True),
+        ('{"a":NaN,"b":[-Infinity]}', True),
+        ('{"a":1,"a":2} x', False),
+        ('{"a":NaN}}', False),
     ],
 )
 def test_success_means_one_json_object(spark, text, success):
@@ -161,6 +181,19 @@ def test_features_under_their_aliases(spark):
     assert row.Soddisfazione_cliente is None and row.success is True
 
 
+def test_repeated_keys_and_words_for_numbers(spark):
+    row = flat(spark, '{"a":"x","a":"y","n":{"k":NaN}}', (Feature("a", CLOSED), Feature("n.k", CLOSED)))
+    assert (row.a, row["n.k"], row.other_keys) == ("y", "NaN", None)
+
+
+def test_undeclared_keys_are_kept(spark):
+    features = (Feature("a", CLOSED), Feature("t", CLOSED, aliases=("tone.client",)))
+    row = flat(spark, '{"a":"x","b":1,"c":{"d":[2],"e":{}},"tone":{"client":"p","mood":null}}', features)
+    assert (row.a, row.t) == ("x", "p")
+    assert json.loads(row.other_keys) == {"b": 1, "c.d": [2], "c.e": {}, "tone.mood": None}
+    assert flat(spark, '{"a":"x"}', features).other_keys is None
+
+
 def test_flattening_a_failed_response(spark):
     row = flat(spark, "Error: X; ()", (Feature("a", CLOSED), Feature("b", CLOSED_LIST)))
     assert (row.success, row.a, row.b, row.response) == (False, None, None, "Error: X; ()")

@@ -23,12 +23,12 @@ def test_query_matches_oracle(spark, con, sf_dir, name):
 
 
 def test_entry_has_the_known_answer(spark):
-    assert entry(spark).collect()[0][0] == 8
+    assert entry(spark).collect()[0][0] == 3
 
 
 def test_known_answers(spark, sf_dir):
     summary = QUERIES["corpus_summary"](spark, sf_dir).first()
-    assert (summary.total_rows, summary.conversations) == (86, 20)
-    assert (summary.human_messages, summary.system_messages) == (66, 20)
-    assert QUERIES["client_return_summary"](spark, sf_dir).first().returning_clients == 0
+    assert (summary.total_rows, summary.conversations) == (977, 20)
+    assert (summary.human_messages, summary.system_messages) == (261, 177)
+    assert QUERIES["client_return_summary"](spark, sf_dir).first().returning_clients == 2
     assert QUERIES["out_of_vocabulary_counts"](spark, sf_dir).first().resolution == 5
