@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens.functions.roles import ROLES, Roles
-from chatlens.schema import CHAT_COLUMNS, TIMESTAMP_FORMAT, USER_ATTRIBUTES
+from chatlens.schema import CHAT_COLUMNS, CORRUPT_LINE, TIMESTAMP_FORMAT, USER_ATTRIBUTES
 
 # Texts that stand for a missing value.
 NULL_TOKENS = ("None", "NULL")
@@ -39,13 +39,19 @@ def null_profile(df: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> Dat
 
 
 def find_error_rows(df: DataFrame) -> DataFrame:
-    """Rows without conversation, user or a readable date."""
-    return df.filter(_is_error())
+    """Rows without conversation, user or a readable date; also malformed lines, where the log tells them.
+
+    A malformed line whose fields are readable stays in the cleaned log as well.
+    """
+    error = _is_error()
+    if CORRUPT_LINE in df.columns:
+        error = error | F.col(CORRUPT_LINE).isNotNull()
+    return df.filter(error)
 
 
 def remove_error_rows(df: DataFrame) -> DataFrame:
     """The other rows, each once: exact duplicates go too."""
-    return df.filter(~_is_error()).distinct()
+    return df.filter(~_is_error()).drop(CORRUPT_LINE).distinct()
 
 
 def cleaning_report(df: DataFrame, roles: Roles = ROLES) -> DataFrame:

@@ -47,3 +47,6 @@ CHAT = T.StructType(
 ANONYMISED_CHAT = T.StructType(CHAT.fields + [T.StructField("AN_MSGTEXT", T.StringType())])
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+#: Column for the whole line of a malformed row, where a reader is asked for it.
+CORRUPT_LINE = "CORRUPT_LINE"

@@ -22,20 +22,25 @@ def read_chat_log(
     schema: T.StructType = RAW_CHAT,
     fmt: str = "csv",
     multi_line: bool = False,
+    corrupt_column: str | None = None,
 ) -> DataFrame:
     """Read a chat log with a declared schema; rows that do not fit it come back with nulls.
 
     ``multi_line`` allows line breaks inside quoted messages, but makes every CSV file one task; keep
-    it off for a few big files, or use parquet.
+    it off for a few big files, or use parquet. ``corrupt_column`` adds the whole line of rows with too few or
+    too many fields, null for the others; without it, surplus fields leave no trace.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(*paths)
     if fmt != "csv":
         raise ValueError(f"unsupported format: {fmt}")
+    if corrupt_column is not None:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
     return (
         spark.read.schema(schema)
         .option("header", True)
+        .option("columnNameOfCorruptRecord", corrupt_column or "_corrupt_record")
         .option("sep", sep)
         .option("mode", "PERMISSIVE")
         .option("multiLine", multi_line)

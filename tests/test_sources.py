@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.features import Feature
 from chatlens.operators import annotate, clean
-from chatlens.plans import adapters as A
+from chatlens.plans import adapters as A, stages
 from chatlens.plans.stages import run_stages
-from chatlens.schema import CHAT, RAW_CHAT, RAW_CHAT_COLUMNS
+from chatlens.schema import CHAT, CORRUPT_LINE, RAW_CHAT, RAW_CHAT_COLUMNS
 from chatlens.sources import (
     read_annotations,
     read_chat_log,
@@ -118,3 +118,63 @@ def test_all_stages(spark, sf_dir, raw_csv, tmp_path):
 def test_raw_schema_is_text_only():
     assert {f.dataType.simpleString() for f in RAW_CHAT} == {"string"}
     assert len(RAW_CHAT_COLUMNS) == 15 and len(CHAT) == 17
+
+
+def test_malformed_lines_are_kept_as_errors(spark, tmp_path):
+    good = ["2024-01-01 00:00:00", "i", "u", *["x"] * 12]
+    lines = [";".join(RAW_CHAT_COLUMNS), ";".join(good), ";".join([*good, "more"]), ";".join(good[:5])]
+    (tmp_path / "log.csv").write_text("\n".join(lines))
+    raw = read_chat_log(spark, str(tmp_path / "log.csv"), corrupt_column=CORRUPT_LINE)
+    errors = {r[CORRUPT_LINE] for r in clean.find_error_rows(raw).collect()}
+    assert errors == {lines[2], lines[3]}
+    kept = clean.remove_error_rows(raw)
+    assert kept.columns == list(RAW_CHAT_COLUMNS) and kept.count() == 2
+    assert CORRUPT_LINE not in read_chat_log(spark, str(tmp_path / "log.csv")).columns
+
+
+def test_all_stages_with_the_default_scheme(spark, raw_csv, tmp_path):
+    """From the raw log and four annotators' tables to mismatches and topic classes."""
+
+    def annotator(docs):
+        n = F.crc32("INTERACTION_ID") % 3
+        first = F.when(n == 0, "Risolto").when(n == 1, "Boh").otherwise("Non risolto")
+        emotions = F.array(F.lit("Gioia"), F.lit("Paura"))
+        topics = F.when(n == 0, F.array(F.lit("bonus di benvenuto"))).otherwise(F.array(F.lit("altro tema"), F.lit("Prelievo")))
+        fields = {
+            "Risoluzione_richiesta_cliente": first,
+            "Emozioni cliente": emotions,
+            "Tono.Cliente": F.lit("Neutrale"),
+            "Argomento_conversazione": topics,
+            "Riassunto": F.lit("breve"),
+            "Extra": n,
+        }
+        return docs.withColumn("response", F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])))
+
+    out = str(tmp_path / "out")
+    stages.run_stages(spark, raw_csv, out, annotator)
+    ids = sorted(r.INTERACTION_ID for r in spark.read.parquet(f"{out}/features").collect())
+    columns = ("INTERACTION_ID", "Risoluzione_richiesta_cliente", "Emozione_prevalente_cliente", "Tono_conversazione_cliente")
+    paths = {}
+    for name in "ABCD":
+        paths[name] = str(tmp_path / f"{name}.csv")
+        emotion = "Gioia" if name == "A" else "Rabbia"
+        # Emotions hold the separator of this file, hence the quotes.
+        rows = [f'{i};Risolto;"Emozione primaria: {emotion}; secondaria: NA;";Formale' for i in ids]
+        (tmp_path / f"{name}.csv").write_text("\n".join([";".join(columns), *rows]))
+    stages.run_statistics(spark, out)
+    stages.run_agreement(spark, out, paths, columns)
+    stages.run_insights(spark, out)
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    assert read("statistics/corpus_summary").first().conversations == len(ids)
+    features = read("features").collect()
+    assert {r.other_keys for r in features} <= {f'{{"Extra":{k}}}' for k in range(3)}
+    solved = sum(r.Risoluzione_richiesta == "Risolto" for r in features)
+    mismatch = {r.annotator: r for r in read("agreement/mismatch").collect()}
+    assert set(mismatch) == {*"ABCD", "average"}
+    assert all(r.diff_Risoluzione_richiesta == len(ids) - solved and r.diff_Tono_cliente == 0 for r in mismatch.values())
+    assert [mismatch[k].diff_Emozioni_cliente for k in "AB"] == [0, len(ids)]
+    assert {tuple(r.Emozioni_cliente) for r in read("agreement/disagreement").collect()} == {("B", "C", "D")}
+    classes = {r.topic_class for r in read("insights/topics_Argomento_conversazione").collect()}
+    assert classes == {"bonus", "prelievi", "altro"}
+    assert {r.value for r in read("insights/out_of_vocabulary").collect()} == {"Boh"}
+    assert read("insights/failed").first()[0] == 0
