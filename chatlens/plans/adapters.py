@@ -157,6 +157,12 @@ LEXICON = {
     "resolution": (("Solved", "thanks|then"), ("Unsolved", "error|was")),
     "client_tone": (("Emotional", "!"), ("Ironic", "oure"), ("Neutral", "the")),
     "language_level": (("High", "tionthe"), ("Low", "ndnd")),
+    "satisfaction": (("Very happy", "ingthe"), ("Unhappy", "erer"), ("Neutral", "an")),
+    "operator_tone": (("Polite", "thand"), ("Neutral", "agent")),
+    "client_emotions": (("Irony", "onon"), ("Joy", "ha"), ("Fear", "k")),
+    "operator_emotions": (("Neutrality", "agent"),),
+    "topics": (("Welcome bonus", "ea"), ("Account closure", "k")),
+    "summary": (("Much was said", "er.*er.*er"), ("Little was said", "e")),
 }
 
 TONE_MAP = {"Formal": "Neutral", "Informal": "Neutral"}

@@ -190,7 +190,7 @@ _on(
     annotate_parse_flatten=lambda chat: annotate_stage(
         redact.pii_redact(chat),
         lambda docs: annotate.annotate_with_lexicon(docs, A.LEXICON),
-        [f for f in A.FEATURES if f.name in A.LEXICON],
+        A.FEATURES,
     ).drop("response"),
 )
 

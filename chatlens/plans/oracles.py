@@ -300,7 +300,11 @@ _register(
     annotate=f"SELECT INTERACTION_ID, {LEXICON_JSON} AS response FROM docs",
     annotate_with_lexicon=f"SELECT INTERACTION_ID, {LEXICON_JSON} AS response FROM docs",
     annotate_parse_flatten="SELECT INTERACTION_ID, true AS success, "
-    + ", ".join(f"{_lexicon(f.name)} AS {f.name}" for f in A.FEATURES if f.name in A.LEXICON)
+    + ", ".join(
+        (f"""concat('["', {_lexicon(f.name)}, '"]')""" if f.is_list else _lexicon(f.name))
+        + f" AS {f.name}"
+        for f in A.FEATURES
+    )
     + ", NULL::VARCHAR AS other_keys FROM docs",
 )
 # Which kind of response a row has follows from its number; repeated keys and NaN are made plain JSON.
