@@ -344,6 +344,7 @@ def find_links(
         ),
         "jaccard-rows",
     )
+    n_rows = rows.count()  # of the narrow tables below none has more
     keyed = texts.select("text").mapInArrow(_bucketed(n, p, q), "key long, node long")
     shared = stage(
         keyed.groupBy("key")
@@ -357,8 +358,11 @@ def find_links(
     clusters = stage(
         components(met, "jaccard-clusters").withColumnRenamed("root", "cluster"),
         "jaccard-clusters",
+        n_rows,
+    )
+    sizes = stage(
+        clusters.groupBy("cluster").agg(F.count("*").alias("size")), "jaccard-sizes", n_rows
     )
-    sizes = stage(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "jaccard-sizes")
     one_of = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
     placed = (
         clusters.join(sizes, "cluster")
@@ -372,7 +376,7 @@ def find_links(
         )
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n_blocks")))
     )
-    placed = stage(placed, "jaccard-placed")
+    placed = stage(placed, "jaccard-placed", n_rows)
     sets = stage(
         texts.withColumn("id", F.coalesce("doc_id", F.lit(0)))
         .join(placed.hint("shuffle_hash"), ["id", "text_key"])
@@ -434,14 +438,17 @@ def join_components(
 ) -> DataFrame:
     """``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` (least id reachable by links), a row per row of ``docs``."""
     rows, links = find_links(docs, n, p, q, id_column, text_column)
-    roots = stage(components(links, "jaccard-components"), "jaccard-roots")
+    n_rows = rows.count()
+    roots = stage(components(links, "jaccard-components"), "jaccard-roots", n_rows)
     rooted = stage(
         rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")),
         "jaccard-rooted",
+        n_rows,
     )
     first = stage(
         rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first")),
         "jaccard-first",
+        n_rows,
     )
     return rooted.join(first, "root", "left").select(
         "doc_id",

@@ -17,8 +17,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder; cuts the lineage."""
+#: Rows of a narrow table that one task writes.
+TASK_ROWS = 250_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows, read back from a Parquet table in the shared folder; cuts the lineage.
+
+    If ``rows`` tells about how many narrow rows there are, the last tasks are joined to so many as these need.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
