@@ -65,6 +65,17 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    values = _byte_values()[data]
+    values *= _powers_of(_BASE, len(data))
+    np.cumsum(values, out=sums[1:])
+    back = _powers_of(pow(_BASE, -1, 1 << 64), len(data) + 1)
+    out = (sums[ends] - sums[starts]) * back[starts]
+    return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(_WORD_BASE)))
+
+
 class Block:
     """Texts ``first`` to ``first + count`` of a batch: ``data`` their bytes, ``offsets`` where each begins and the end."""
 
@@ -102,7 +113,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 class Words:
     """The words of a block in order: byte bounds, index of the text, hash; ``per_text`` counts and ``first`` word of each."""
 
-    def __init__(self, block: Block, word_bytes: np.ndarray = NOT_SPACE, lower: bool = False, hashed: bool = True):
+    def __init__(self, block: Block, word_bytes: np.ndarray = NOT_SPACE, lower: bool = False):
         data = LOWER[block.data] if lower else block.data
         n = len(data)
         inside = word_bytes[data]
@@ -119,17 +130,7 @@ class Words:
         self.first = np.searchsorted(self.start, block.offsets)
         self.per_text = np.diff(self.first)
         self.text = np.repeat(np.arange(block.count), self.per_text)
-        self.hash = self._hash(data) if hashed else None
-
-    def _hash(self, data: np.ndarray) -> np.ndarray:
-        n = len(data)
-        sums = np.zeros(n + 1, np.uint64)
-        values = _byte_values()[data]
-        values *= _powers_of(_BASE, n)
-        np.cumsum(values, out=sums[1:])
-        back = _powers_of(pow(_BASE, -1, 1 << 64), n + 1)
-        out = (sums[self.end] - sums[self.start]) * back[self.start]
-        return mix(out ^ ((self.end - self.start).astype(np.uint64) * np.uint64(_WORD_BASE)))
+        self.hash = hash_spans(data, self.start, self.end)
 
 
 def grams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

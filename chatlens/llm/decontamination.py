@@ -5,8 +5,9 @@ and a passage leaks an item of n words if some window of the text is within ``fl
 
 Windows of an item's size are embedded by a random walk that turns edits into mismatches at fixed places: the walk reads a word,
 writes it down, and moves on by 0 or 1 words as a hash of word and place says. Equal samples of places, taken several times
-from several walks, make window and item candidates; around candidates the exact edit distance is worked out over all windows. Equal texts meet in every sample; what is at the threshold meets in at least one
-with a probability of 0.99 (``WALKS`` and ``SAMPLES``; measured by the tests).
+from several walks, make window and item candidates; around candidates the exact edit distance is worked out over all
+windows. Equal texts meet in every sample; what is at the threshold meets in at least one with a probability of 0.99
+(``WALKS`` and ``SAMPLES``; measured by the tests).
 
 Windows are taken where they can matter: a window within d edits of an item shares at least n - q + 1 - d * q of its word
 q-grams (q as large as leaves one), near one diagonal; a place without that is no candidate, whatever the walks say.
@@ -39,9 +40,9 @@ GRAM = 3
 
 
 def walk(words: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Embeddings of sequences, rows of word hashes of which the first ``sizes`` count: two words written per word of the longest.
+    """Embeddings of sequences, rows of word hashes of which the first ``sizes`` count.
 
-    Past the end of a sequence the walk writes 0.
+    Two words are written per word of the longest; past the end of a sequence the walk writes 0.
     """
     rows, longest = words.shape
     out = np.zeros((rows, 2 * longest), np.uint64)

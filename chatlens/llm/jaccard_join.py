@@ -35,7 +35,7 @@ from chatlens.llm.shared import stage, texts_of
 
 #: Sets of one tree.
 BLOCK = 1024
-#: Members of a component that are compared across blocks.
+#: Of ``BLOCK`` members about so many are compared across blocks, and the least of each component.
 CONNECTORS = 4
 #: Differences up to which buckets are pairs of parts.
 PAIRED = 12
@@ -89,7 +89,10 @@ def token_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = whole_grams(words, n)
     text = words.text[at]
     short = np.flatnonzero((words.per_text > 0) & (words.per_text < n))
-    whole = [grams(words.hash[words.first[i] : words.first[i + 1]], k, n)[0] for i, k in zip(short, words.per_text[short], strict=True)]
+    whole = [
+        grams(words.hash[words.first[i] : words.first[i + 1]], int(words.per_text[i]), n)[0]
+        for i in short
+    ]
     text = np.concatenate((text, short))
     hashes = np.concatenate((hashes, np.array(whole, np.uint64)))
     order = np.lexsort((hashes, text))
@@ -399,7 +402,12 @@ def find_links(
     now = stage(labelled(), "jaccard-labelled")
     chosen = (
         now.groupBy("cluster", "block", "label")
-        .agg(F.collect_set(F.when(F.pmod("node", F.lit(BLOCK)) < CONNECTORS, F.col("node"))).alias("some"), F.min("node").alias("least"))
+        .agg(
+            F.collect_set(
+                F.when(F.pmod("node", F.lit(BLOCK)) < CONNECTORS, F.col("node"))
+            ).alias("some"),
+            F.min("node").alias("least"),
+        )
         .select("cluster", F.explode(F.array_union("some", F.array("least"))).alias("node"))
         .distinct()
     )
@@ -434,7 +442,12 @@ def find_links(
 
 
 def join_components(
-    docs: DataFrame, n: int = 3, p: int = 90, q: int = 100, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    n: int = 3,
+    p: int = 90,
+    q: int = 100,
+    id_column: str = "doc_id",
+    text_column: str = "text",
 ) -> DataFrame:
     """``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` (least id reachable by links), a row per row of ``docs``."""
     rows, links = find_links(docs, n, p, q, id_column, text_column)
@@ -472,3 +485,28 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) ->
         F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit(""))) == F.col("x.dropped_key")
     )
     return docs.alias("d").join(dropped.alias("x").hint("shuffle_hash"), same, "left_anti")
+
+
+#: DuckDB: intersections counted shingle by shingle, components by a recursive query.
+SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, w[p : p + 2] AS s FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)),
+reached(a, b) AS (
+  SELECT doc_id, doc_id FROM split UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM split LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
+"""

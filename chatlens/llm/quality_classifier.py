@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.blocks import Block, Words, blocks, mix
+from chatlens.llm.blocks import Block, Words, blocks, hash_spans, mix
 from chatlens.llm.shared import stage, texts_of
 
 BITS = 18
@@ -72,7 +72,7 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # A word's first byte may have been squeezed into the text before: then its shape begins one earlier.
     starts = starts - ~shaped.keep[words.start]
     squeezed = shaped.shape[shaped.keep]
-    shape = _hash_spans(squeezed, starts, ends)
+    shape = hash_spans(squeezed, starts, ends)
     same = np.zeros(len(words.start), bool)
     if len(same):
         same[1:] = (words.hash[1:] == words.hash[:-1]) & (words.text[1:] == words.text[:-1])
@@ -97,15 +97,6 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, (both & np.uint64(SIZE - 1)).astype(np.int64), value
 
 
-def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    from chatlens.llm.blocks import _BASE, _byte_values, _powers_of
-
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * _powers_of(_BASE, len(data)), out=sums[1:])
-    back = _powers_of(pow(_BASE, -1, 1 << 64), len(data) + 1)
-    return mix((sums[ends] - sums[starts]) * back[starts])
-
-
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 

@@ -1,8 +1,8 @@
 """Quality rules: a table of thresholds compiled into Spark projections over built-in functions only.
 
 Per text: words (runs of anything but ASCII white space), their code points, symbols, lines that repeat an earlier one,
-words inside three-word windows that occur twice or more, stop words (as listed, in lower case). No shuffle, no user function; a row is
-judged from itself alone, so key skew cannot matter.
+words inside three-word windows that occur twice or more, stop words (as listed, in lower case). No shuffle, no user
+function; a row is judged from itself alone, so key skew cannot matter.
 
 Defined cases: a null text is empty; an empty text has no words, so every ratio is 0 and ``base_failed`` is true; repeated
 rows are judged each; an empty table gives an empty result; other columns of the table are ignored.

@@ -109,5 +109,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": url_filter.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }

@@ -13,7 +13,6 @@ empty result; other columns are ignored. Sequence numbers depend on the rows alo
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,6 @@ K1, B = 1.2, 0.75
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
 
-@lru_cache(maxsize=1)
 def _encoding(ranks_path: str, pattern: str):
     import base64
 

@@ -113,8 +113,8 @@ def _suspects(block: Block) -> np.ndarray:
 
 
 EXTRACTED = (
-    "doc_id long, text_key long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, "
-    "found array<struct<start: long, kind: string, stop: long, digest: binary>>"
+    "doc_id long, text_key long, owner string, repository string, n_assign long, n_access long, n_hex long, "
+    "base_sha256 string, found array<struct<start: long, kind: string, stop: long, digest: binary>>"
 )
 
 

@@ -284,3 +284,23 @@ def find_repeats(
         F.when(F.col("copy"), all_of_it).otherwise(nowhere).alias("repeats"),
     )
     return rest.unionByName(cut)
+
+
+#: DuckDB: every run of 50 words by its digest.
+SQL = """
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+placed AS (SELECT row, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM split WHERE len(w) >= 50),
+runs AS (SELECT row, doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h FROM placed),
+firsts AS (SELECT h, min(doc_id) AS low FROM runs GROUP BY h),
+gone AS (
+  SELECT DISTINCT row, unnest(range(p, p + 50)) AS q FROM runs JOIN firsts USING (h) WHERE doc_id > low),
+words AS (SELECT row, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM split),
+kept AS (
+  SELECT row, count(*) AS n, string_agg(x, ' ' ORDER BY q) AS t FROM words ANTI JOIN gone USING (row, q) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (row)
+"""

@@ -16,7 +16,6 @@ independent: no shuffle. The machine is emptied when it holds ``MAX_STATES`` sta
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -184,12 +183,6 @@ class Transducer:
         return final[:segments]
 
 
-@lru_cache(maxsize=2)
-def transducer(model_path: str) -> Transducer:
-    """One machine per process, shared by its tasks."""
-    return Transducer(model_path)
-
-
 def count_tokens(
     docs: DataFrame,
     model_path: str,
@@ -197,10 +190,10 @@ def count_tokens(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens), a row per row of ``docs``."""
+    """``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more than ``limit`` tokens), a row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(model_path)
+        machine = Transducer(model_path)  # one per task
         for batch in batches:
             for block in blocks(batch.column("text"), _BLOCK):
                 tokens = machine.count(block)

@@ -187,8 +187,8 @@ def filter_urls(
     id_column: str = "page_id",
     url_column: str = "url",
 ) -> DataFrame:
-    """``page_id``, ``host``, ``path``, ``rule`` (the longest rule that fits, else null), ``listed`` (the longest listed key) and
-    ``verdict``, a row per row of ``pages``.
+    """A row per row of ``pages``: ``page_id``, ``host``, ``path``, ``rule`` (the longest rule that fits, else null), ``listed``
+    (the longest listed key) and ``verdict``.
 
     ``rules`` has a table of keys (column ``key``, like ``example.org/docs/``) for each verdict, ``listed`` the keys that are
     blocked where no rule fits. Keys end in "/". A key in two tables goes by the first of them.
