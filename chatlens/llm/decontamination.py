@@ -6,8 +6,9 @@ and a passage leaks an item of n words if some window of the text is within ``fl
 Windows of an item's size are embedded by a random walk that turns edits into mismatches at fixed places: the walk reads a word,
 writes it down, and moves on by 0 or 1 words as a hash of word and place says. Equal samples of places, taken several times
 from several walks, make window and item candidates; around candidates the exact edit distance is worked out over all
-windows. Equal texts meet in every sample; what is at the threshold meets in at least one with a probability of 0.99
-(``WALKS`` and ``SAMPLES``; measured by the tests).
+windows. Equal texts meet in every sample; what is at the threshold meets in at least one with a probability of 0.99 for
+items of at most ``WALKED`` words (measured by the tests). Mismatches of a walk grow faster than the edits, so longer items
+are not sampled: every place that the count filter below leaves is worked out exactly, which loses nothing.
 
 Windows are taken where they can matter: a window within d edits of an item shares at least n - q + 1 - d * q of its word
 q-grams (q as large as leaves one), near one diagonal; a place without that is no candidate, whatever the walks say.
@@ -31,6 +32,8 @@ from chatlens.llm.shared import texts_of
 
 SIMILARITY = 0.8
 WALKS, SAMPLES, PLACES = 6, 16, 3
+#: Words of the longest item that is sampled; beyond, samples miss more than 0.01 of what is at the threshold.
+WALKED = 30
 #: Words of items that are applied at a time.
 ITEM_WORDS = 200_000
 #: Embedded words held at a time.
@@ -119,7 +122,10 @@ class Items:
                 self.need.append(max(1, n - q + 1 - d * q))
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.tables = {q: self._table(q) for q in sorted(set(self.gram))}
-        self.keys = sample_keys(*self._padded(self.words)) if self.words else None
+        walked = np.flatnonzero(self.size <= WALKED)
+        self.keys = np.zeros((len(self.words), WALKS * SAMPLES), np.uint64)
+        if len(walked):
+            self.keys[walked] = sample_keys(*self._padded([self.words[k] for k in walked]))
 
     @staticmethod
     def _padded(sequences: list[np.ndarray], sizes: list[int] | None = None):
@@ -187,6 +193,19 @@ class Items:
             low, high = max(low, a), min(high, b - size)
             # A text shorter than the item is one window, filled up.
             starts.setdefault((item, text), set()).update(range(low, high + 1) if high >= low else [a])
+        places = {(text, item): sorted(ats) for (item, text), ats in starts.items() if self.size[item] > WALKED}
+        sampled = {pair: ats for pair, ats in starts.items() if self.size[pair[0]] <= WALKED}
+        for text, at, item in self._meeting(words, sampled):
+            places.setdefault((text, item), []).append(at)
+        found = []
+        for (text, item), ats in sorted(places.items()):
+            best = self._closest(words, item, text, ats)
+            if best[0] <= self.most[item]:
+                found.append((text, item, *best))
+        return found
+
+    def _meeting(self, words: Words, starts: dict[tuple[int, int], set[int]]) -> list[tuple[int, int, int]]:
+        """(text, start, item), in order, of the windows that meet their item in a sample."""
         wanted = sorted((text, at, item) for (item, text), ats in starts.items() for at in ats)
         if not wanted:
             return []
@@ -203,16 +222,7 @@ class Items:
         rows = [number[at, int(self.size[item])] for _, at, item in wanted]
         items = [item for _, _, item in wanted]
         candidate = (keys[rows] == self.keys[items]).any(axis=1)
-        places: dict[tuple[int, int], list[int]] = {}
-        for k in np.flatnonzero(candidate):
-            text, at, item = wanted[k]
-            places.setdefault((text, item), []).append(at)
-        found = []
-        for (text, item), ats in sorted(places.items()):
-            best = self._closest(words, item, text, ats)
-            if best[0] <= self.most[item]:
-                found.append((text, item, *best))
-        return found
+        return [wanted[k] for k in np.flatnonzero(candidate)]
 
     def _closest(self, words: Words, item: int, text: int, ats: list[int]) -> tuple:
         """Distance, start and size of the closest window around candidates (sorted)."""

@@ -283,6 +283,34 @@ def _edits(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("n", [15, 30, 60, 100, 200, 400])
+@pytest.mark.parametrize("kind", ["mixed", "ins", "del"])
+def test_recall_at_the_threshold_by_size(n, kind):
+    rng = random.Random(f"{n} {kind}")
+    rounds, d = (300 if n <= decontamination.WALKED else 40), int(n * 0.2 + 1e-9)
+    word = lambda: f"u{rng.getrandbits(60)}"
+    items = [[word() for _ in range(n)] for _ in range(rounds)]
+    texts = []
+    for item in items:
+        own = list(item)
+        for _ in range(d):
+            how = rng.choice(["ins", "del", "sub"]) if kind == "mixed" else kind
+            at = rng.randrange(len(own))
+            if how == "ins":
+                own.insert(at, word())
+            else:
+                own[at : at + 1] = [word()] if how == "sub" else []
+        texts.append(" ".join([*(word() for _ in range(n)), *own, *(word() for _ in range(n))]))
+    prepared = decontamination.Items(list(range(rounds)), [" ".join(x) for x in items], 0.8)
+    found = set()
+    for block in blocks(pa.array(texts)):
+        for text, item, edits, _, _ in prepared.leaks(Words(block, decontamination.WORDLIKE, lower=True)):
+            assert edits <= d
+            found.add((block.first + text, item))
+    hits = sum((k, k) in found for k in range(rounds))
+    assert hits == rounds if n > decontamination.WALKED else hits >= 0.99 * rounds
+
+
 def test_closest_window_by_brute_force():
     rnd = random.Random(9)
     for _ in range(60):
