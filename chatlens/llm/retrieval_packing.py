@@ -1,11 +1,14 @@
 """Packing by lexical retrieval: windows of a fixed length, filled with documents that a BM25 index finds alike.
 
-Documents are tokenised once and written to the shared folder. The index is sharded: rows are dealt by hash, and each shard is
+Documents are tokenised once and written to the shared folder. The index is sharded by content: the two terms of greatest
+weight route a document. Documents of one first term share a shard; if they have more than ``block_tokens`` tokens they are
+split by the second term, and if one pair of terms has more, by a hash of the row. Each shard is
 indexed in blocks of at most ``block_tokens`` tokens, over token ids with inverse document frequencies of the whole
-corpus (a vector as long as the vocabulary). In a block a seed document opens a window; its best unused neighbours that fit
-are added; if none fits, the best one is cut, fills the window and seeds the next. What a block leaves over opens the
-first window of the next block, and the rest of a shard is cut into sequences whose lengths are powers of two, so nothing is
-padded. Each document lies in one shard, each token in one piece.
+corpus (a vector as long as the vocabulary). In a block a seed document opens a window; all its terms are looked up, and its
+best unused neighbours that fit are added; if none fits, the best one is cut, fills the window and seeds the next. What a
+block leaves over opens the first window of the next block, and the rest of a shard is cut into sequences whose lengths are
+powers of two, so nothing is padded. Each document lies in one shard, each token in one piece. Neighbours in other
+blocks are not found.
 
 Defined cases: a null text is empty; an empty text is the end id alone; repeated rows are packed each; an empty table gives an
 empty result; other columns are ignored. Sequence numbers depend on the rows alone, not on the order of their arrival.
@@ -16,20 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.blocks import blocks, string_buffers
+from chatlens.llm.blocks import blocks, mix, string_buffers
 from chatlens.llm.shared import stage, texts_of
 
 WINDOW = 2048
 END_ID = 1
 #: Tokens indexed at a time; 8 MB of ids.
 BLOCK_TOKENS = 4_000_000
-#: Terms of a seed that are looked up, neighbours looked at.
-QUERY_TERMS = 24
-NEIGHBOURS = 32
+#: Documents of a block up to which the scores by its commonest terms are one product of matrices, and cells of a matrix.
+DENSE_DOCS, DENSE_CELLS = 4096, 1 << 23
 K1, B = 1.2, 0.75
 
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
@@ -122,36 +123,104 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     return out
 
 
+def _weights(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float):
+    """BM25 weight of each pair of document and term."""
+    norm = K1 * (1 - B + B * length / max(mean, 1.0))
+    return idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+
+
+def leading_terms(ids: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The two terms of greatest weight of each document; the end id where there is none."""
+    doc, term, tf = _pairs(ids)
+    weight = _weights(doc, term, tf, np.array([len(x) for x in ids], float), idf, mean)
+    weight[term == END_ID] = 0
+    bounds = np.searchsorted(doc, np.arange(len(ids)))
+    out = []
+    for _ in range(2):
+        most = np.maximum.reduceat(weight, bounds)
+        at = np.flatnonzero(weight == most[doc])
+        _, where = np.unique(doc[at], return_index=True)
+        out.append(np.where(most > 0, term[at[where]], END_ID))
+        weight[at[where]] = 0
+    return out[0], out[1]
+
+
+class Shards:
+    """Numbers of shards by leading terms, from tokens by first term and the pairs of terms that fill more than a block."""
+
+    def __init__(self, totals: dict[int, int], pairs: dict[tuple[int, int], int], block_tokens: int):
+        self.first, self.parts = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        left = dict(totals)
+        number, filled = 0, 0
+        for (a, b), n in sorted(pairs.items()):
+            left[a] -= n
+            self.pairs[a, b] = number, -(-n // block_tokens)
+            number += -(-n // block_tokens)
+        for a, n in sorted(left.items()):
+            if n > block_tokens:
+                number, filled = number + (filled > 0), 0
+                self.first[a], self.parts[a] = number, -(-n // block_tokens)
+                number += -(-n // block_tokens)
+                continue
+            if filled + n > block_tokens:
+                number, filled = number + 1, 0
+            self.first[a] = number
+            filled += n
+        self.count = max(1, number + (filled > 0))
+
+    def of(self, first: np.ndarray, second: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        out = self.first[first] + (mix(second) % self.parts[first].astype(np.uint64)).astype(np.int64)
+        for (a, b), (start, parts) in self.pairs.items() if len(self.pairs) < len(first) else ():
+            own = (first == a) & (second == b)
+            out[own] = start + (mix(salt[own]) % np.uint64(parts)).astype(np.int64)
+        if len(self.pairs) >= len(first):
+            for i, pair in enumerate(zip(first.tolist(), second.tolist(), strict=True)):
+                if pair in self.pairs:
+                    start, parts = self.pairs[pair]
+                    out[i] = start + int(mix(salt[i : i + 1])[0]) % parts
+        return out
+
+
 class Index:
     """Inverted index of a block of documents with a list of those not used yet."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
         doc, term, tf = _pairs(ids)
-        length = np.array([len(x) for x in ids], float)
-        norm = K1 * (1 - B + B * length / max(mean_length, 1.0))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        weight = _weights(doc, term, tf, np.array([len(x) for x in ids], float), idf, mean_length)
         self.doc_bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
-        self.doc_terms, self.doc_weights = term, weight
+        self.doc_terms = term
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.term_bounds = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         self.unused = np.ones(len(ids), bool)
-
-    def neighbours(self, seed: int) -> list[int]:
+        self.common, self.scores = np.zeros(1 << 16, bool), None
+        if 64 <= len(ids) <= DENSE_DOCS:
+            counts = np.diff(self.term_bounds)
+            used = np.argsort(-counts, kind="stable")[: min(DENSE_CELLS // len(ids), np.count_nonzero(counts > len(ids) // 64))]
+            self.common[used] = True
+            column = np.zeros(1 << 16, np.int64)
+            column[used] = np.arange(len(used))
+            at = np.flatnonzero(self.common[term])
+            held = np.zeros((len(ids), len(used)), np.float32)
+            held[doc[at], column[term[at]]] = weight[at]
+            self.scores = (held > 0).astype(np.float32) @ held.T
+
+    def ranked(self, seed: int) -> np.ndarray:
         """Unused documents, best first; equal ones by position."""
-        a, b = self.doc_bounds[seed], self.doc_bounds[seed + 1]
-        terms, weights = self.doc_terms[a:b], self.doc_weights[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
-        score = np.zeros(len(self.unused))
-        for t in np.sort(terms):
-            x, y = self.term_bounds[t], self.term_bounds[t + 1]
-            score[self.docs[x:y]] += self.weights[x:y]
+        terms = self.doc_terms[self.doc_bounds[seed] : self.doc_bounds[seed + 1]]
+        terms = terms[~self.common[terms]]
+        first, n = self.term_bounds[terms], self.term_bounds[terms + 1] - self.term_bounds[terms]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.docs[at], self.weights[at], len(self.unused)).astype(float)
+        if self.scores is not None:
+            score += self.scores[seed]
         score[~self.unused] = 0
         found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))].tolist()
+        return found[np.argsort(-score[found], kind="stable")]
+
+    def neighbours(self, seed: int) -> list[int]:
+        return self.ranked(seed).tolist()
 
 
 class Packer:
@@ -203,6 +272,7 @@ def pack_block(rows: list[tuple], packer: Packer, idf: np.ndarray, mean: float)
     ids = [x for _, x in rows]
     index = Index(ids, idf, mean)
     size = [len(x) for x in ids]
+    sizes = np.array(size)
     done, ahead, seed = [], 0, None
     fresh = True
     while True:
@@ -217,21 +287,70 @@ def pack_block(rows: list[tuple], packer: Packer, idf: np.ndarray, mean: float)
         fresh = True
         if not packer.filled:
             continue
-        near = index.neighbours(seed)
-        for i in near:
-            if size[i] <= packer.room:
-                index.unused[i] = False
-                near = [k for k in near if k != i]
-                done += packer.add(rows[i], size[i])
-                if not packer.filled:
-                    break
-        if packer.filled and near:
+        near = index.ranked(seed)
+        at = 0
+        while packer.filled:
+            # The next best that fits; those passed over do not fit later either.
+            fits = np.flatnonzero(sizes[near[at:]] <= packer.room)
+            if not len(fits):
+                break
+            at += int(fits[0])
+            i = int(near[at])
+            index.unused[i] = False
+            at += 1
+            done += packer.add(rows[i], size[i])
+        near = near[index.unused[near]]
+        if packer.filled and len(near):
             # None fits: the best is cut and seeds the next window.
-            seed, fresh = near[0], False
+            seed, fresh = int(near[0]), False
             index.unused[seed] = False
             done += packer.add(rows[seed], size[seed])
 
 
+def _routed(tokens: DataFrame, shared, mean: float, block_tokens: int, n_tokens: int) -> DataFrame:
+    """``tokens`` with ``shard``, dealt to the shards; in a shard by leading terms, then in a fixed order."""
+
+    def terms(shards: Shards | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in blocks(batch.column("ids")):
+                    raw = [block.text(i) for i in range(block.count)]
+                    first, second = leading_terms([np.frombuffer(x, "<u2") for x in raw], shared.value, mean)
+                    part = batch.slice(block.first, block.count)
+                    columns = [pa.array(first), pa.array(second)]
+                    if shards is None:
+                        yield pa.RecordBatch.from_arrays([*columns, part.column("n")], names=["first", "second", "n"])
+                        continue
+                    salt = np.array([zlib.crc32(x) for x in raw], np.uint64)
+                    salt ^= mix(part.column("doc_id").fill_null(0).to_numpy().view(np.uint64))
+                    columns += [pa.array(shards.of(first, second, salt).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, *columns], names=[*part.schema.names, "first", "second", "shard"]
+                    )
+
+        return run
+
+    shards = Shards({END_ID: n_tokens}, {}, max(n_tokens, 1))
+    if n_tokens > block_tokens:
+        counts = stage(
+            tokens.mapInArrow(terms(None), "first long, second long, n long")
+            .groupBy("first", "second")
+            .agg(F.sum("n").alias("n")),
+            "pack-terms",
+        )
+        totals = counts.groupBy("first").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
+        pairs = counts.where(F.col("n") > block_tokens).collect()  # fewer than blocks
+        shards = Shards(
+            {r["first"]: r["n"] for r in totals}, {(r["first"], r["second"]): r["n"] for r in pairs}, block_tokens
+        )
+    routed = tokens.mapInArrow(
+        terms(shards), "doc_id long, n long, ids binary, first long, second long, shard int"
+    )
+    return routed.repartitionById(shards.count, F.col("shard")).sortWithinPartitions(
+        "shard", "first", "second", "doc_id", "n", "ids"
+    )
+
+
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
@@ -254,10 +373,10 @@ def pack(
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     mean = n_tokens / max(n_docs, 1)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    shards = max(1, -(-n_tokens // block_tokens))
+    routed = _routed(tokens, shared, mean, block_tokens, n_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(window, TaskContext.get().partitionId() << 32)
+        packer, shard = None, None
         held, size = [], 0
 
         def out(pieces: list[tuple]) -> pa.RecordBatch:
@@ -274,19 +393,26 @@ def pack(
             )
 
         for batch in batches:
-            for row in zip(
-                batch.column("doc_id").to_pylist(), _ids_of(batch.column("ids")), strict=True
+            for own, *row in zip(
+                batch.column("shard").to_pylist(),
+                batch.column("doc_id").to_pylist(),
+                _ids_of(batch.column("ids")),
+                strict=True,
             ):
-                held.append(row)
+                if own != shard:
+                    if packer is not None:
+                        last = pack_block(held, packer, shared.value, mean) if held else []
+                        yield out(last + packer.close())
+                    packer, shard = Packer(window, own << 32), own
+                    held, size = [], 0
+                held.append(tuple(row))
                 size += len(row[1])
                 if size >= block_tokens:
                     yield out(pack_block(held, packer, shared.value, mean))
                     held, size = [], 0
-        last = pack_block(held, packer, shared.value, mean) if held else []
-        yield out(last + packer.close())
+        if packer is not None:
+            last = pack_block(held, packer, shared.value, mean) if held else []
+            yield out(last + packer.close())
 
-    dealt = tokens.repartition(int(shards), F.xxhash64("doc_id", "ids")).sortWithinPartitions(
-        "doc_id", "n", "ids"
-    )
-    pieces = dealt.select("doc_id", "ids").mapInArrow(run, PIECES)
+    pieces = routed.select("shard", "doc_id", "ids").mapInArrow(run, PIECES)
     return pieces if with_ids else pieces.drop("ids")

@@ -401,6 +401,58 @@ def test_neighbours_share_terms():
     assert index.neighbours(0) == [4, 2]
 
 
+@pytest.mark.parametrize("n", [50, 100])
+def test_all_terms_and_all_neighbours_count(n):
+    """Every document shares the lightest term of the first, which has 40."""
+    idf = np.ones(1 << 16)
+    idf[5] = 0.5
+    first = np.array([5, *range(100, 139)], "<u2")
+    ids = [first, *(np.array([5, *range(1000 + 5 * i, 1005 + 5 * i)], "<u2") for i in range(n))]
+    index = retrieval_packing.Index(ids, idf, 6.0)
+    index.unused[0] = False
+    assert index.neighbours(0) == list(range(1, n + 1))
+    assert (index.scores is None) == (n < 64)
+
+
+def test_scores_of_an_index_by_brute_force():
+    rng = np.random.default_rng(3)
+    ids = [np.append(rng.zipf(1.3, rng.integers(1, 60)) % 500 + 2, 1).astype("<u2") for _ in range(300)]
+    idf, mean = rng.random(1 << 16) + 0.1, np.mean([len(x) for x in ids])
+    index = retrieval_packing.Index(ids, idf, mean)
+    for seed in range(0, 300, 37):
+        score = np.zeros(300)
+        for t in set(ids[seed].tolist()):
+            tf = np.array([(x == t).sum() for x in ids])
+            score += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * np.array([len(x) for x in ids]) / mean))
+        got = index.neighbours(seed)
+        assert sorted(got) == np.flatnonzero(score).tolist()
+        assert np.all(np.diff(score[got]) <= 1e-4)
+
+
+def test_alike_documents_share_a_shard(make):
+    rnd = random.Random(4)
+    texts = []
+    for k in range(60):
+        own = f" Q{rnd.getrandbits(40):x}" * 3
+        texts += [" ".join(rnd.choice("the of and to in is it for on with".split()) for _ in range(60)) + own for _ in range(6)]
+    rows = _pack(make(texts), block_tokens=4000, with_ids=False).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in rows}
+    assert len(set(shard.values())) >= 5
+    assert sum(len({shard[6 * k + i] for i in range(6)}) == 1 for k in range(60)) >= 45
+
+
+def test_shards_are_bounded():
+    """A term and a pair of terms that fill many blocks are split, the others share shards in order."""
+    first, second = np.repeat([3, 7, 8, 9], [100, 9000, 5000, 50]), np.arange(14150) % 997
+    second[9100:14100] = 4
+    totals = {int(t): int((first == t).sum()) for t in set(first)}
+    shards = retrieval_packing.Shards(totals, {(8, 4): 5000}, 1000)
+    got = shards.of(first, second, np.arange(14150).astype(np.uint64))
+    assert np.bincount(got, minlength=shards.count).max() < 1300 and got.max() < shards.count
+    assert all(len(set(got[(first == 7) & (second == k)])) == 1 for k in range(997))
+    assert len(set(got[first == 3])) == len(set(got[first == 9])) == 1
+
+
 # --- classifier ---------------------------------------------------------------------------------------------------------
 
 
