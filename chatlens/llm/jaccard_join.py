@@ -441,6 +441,19 @@ def find_links(
     return rows, stage(links.unionByName(last), "jaccard-links")
 
 
+def _rooted(docs: DataFrame, n: int, p: int, q: int, id_column: str, text_column: str) -> tuple[DataFrame, int]:
+    """The rows of ``find_links`` with ``root``, which linked rows have in common (null for empty sets), and their number."""
+    rows, links = find_links(docs, n, p, q, id_column, text_column)
+    n_rows = rows.count()
+    roots = stage(components(links, "jaccard-components"), "jaccard-roots", n_rows)
+    rooted = stage(
+        rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")),
+        "jaccard-rooted",
+        n_rows,
+    )
+    return rooted, n_rows
+
+
 def join_components(
     docs: DataFrame,
     n: int = 3,
@@ -450,14 +463,7 @@ def join_components(
     text_column: str = "text",
 ) -> DataFrame:
     """``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` (least id reachable by links), a row per row of ``docs``."""
-    rows, links = find_links(docs, n, p, q, id_column, text_column)
-    n_rows = rows.count()
-    roots = stage(components(links, "jaccard-components"), "jaccard-roots", n_rows)
-    rooted = stage(
-        rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")),
-        "jaccard-rooted",
-        n_rows,
-    )
+    rooted, n_rows = _rooted(docs, n, p, q, id_column, text_column)
     first = stage(
         rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first")),
         "jaccard-first",
@@ -474,17 +480,38 @@ def join_components(
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """``docs`` without those linked, directly or not, to one with a smaller ``doc_id``; all columns as they are."""
-    dropped = (
-        join_components(docs, n, p, q)
-        .where("doc_id > component_id")
-        .select(F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key"))
-        .distinct()
-    )
-    same = (F.col("d.doc_id").cast("long") == F.col("x.dropped_id")) & (
-        F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit(""))) == F.col("x.dropped_key")
+    """One row of ``docs`` of each component, all columns as they are: that of least ``doc_id`` (null last), then of least
+    ``text_key``; of rows that repeat both, any one. Texts without words are linked to nothing and stay.
+    """
+    rooted, n_rows = _rooted(docs, n, p, q, "doc_id", "text")
+    linked = rooted.where("root is not null")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    chosen = stage(linked.groupBy("root").agg(F.min(own).alias("chosen")), "jaccard-chosen", n_rows)
+    counted = stage(
+        linked.join(chosen, "root")
+        .groupBy("doc_id", "text_key", own.eqNullSafe(F.col("chosen")).alias("keep"))
+        .agg(F.count("*").alias("n")),
+        "jaccard-counted",
+        n_rows,
+    ).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "keep", "n")
+    own_id = F.col("d.doc_id").cast("long")
+    own_key = F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit("")))
+    same = own_id.eqNullSafe(F.col("x.found_id")) & (own_key == F.col("x.found_key"))
+
+    def of(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        return rows.alias("d").join(pairs.alias("x").hint("shuffle_hash"), same, how)
+
+    kept = of(docs, counted.where("not keep"), "left_anti")
+    repeated = counted.where("keep and n > 1")
+    if repeated.isEmpty():
+        return kept
+    once = (
+        of(docs, repeated, "left_semi")
+        .select(F.struct("d.*").alias("d"), own_id.alias("id"), own_key.alias("key"))
+        .dropDuplicates(["id", "key"])
+        .select("d.*")
     )
-    return docs.alias("d").join(dropped.alias("x").hint("shuffle_hash"), same, "left_anti")
+    return of(kept, repeated, "left_anti").unionByName(once)
 
 
 #: DuckDB: intersections counted shingle by shingle, components by a recursive query.

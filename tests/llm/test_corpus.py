@@ -201,6 +201,20 @@ def test_join_on_odd_rows(odd, none):
         jaccard_join.Threshold(1, 2)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows and rows without an id leave one row of each component; texts without words all stay."""
+    long, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    only = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, long, 1), (1, long, 2), (1, long + " z", 3), (2, long, 4), (None, long, 5), (None, other, 6), (None, other, 7)]
+    rows += [(None, other + " z", 8), (5, only, 9), (3, "", 10), (3, "", 11), (None, None, 12), (None, None, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    kept = jaccard_join.keep_one_of_each(docs)
+    got = kept.collect()
+    assert kept.columns == docs.columns and len(got) == 7
+    assert {r.id for r in got} >= {9, 10, 11, 12, 13}
+    assert sum(r.doc_id == 1 for r in got) == 1 and sum(r.doc_id is None and bool(r.text) for r in got) == 1
+
+
 def test_buckets_meet():
     """Sets at the threshold meet in a bucket, of every size."""
     rnd = np.random.default_rng(3)
