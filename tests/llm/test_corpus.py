@@ -564,6 +564,11 @@ def test_pipeline_stages(spark, sf_dir, documents, texts):
     assert sizes[0] <= len(texts) and sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2]
 
 
+def test_pipeline_writes_the_tokens(spark, sf_dir, make):
+    rows = corpus_pipeline.packing(spark, make(["one two three", "four"]), sf_dir).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
 def test_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
