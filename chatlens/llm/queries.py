@@ -10,6 +10,7 @@ from chatlens.llm import (
     decontamination,
     jaccard_join,
     license_templates,
+    merkle_manifest,
     quality_classifier,
     quality_rules,
     retrieval_packing,
@@ -94,6 +95,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.line_breaks_removed(_table(spark, sf_dir, "documents")).drop("proof")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_license_templates": op2_license_templates,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_transducer": op8_token_transducer,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -112,4 +118,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op7_jaccard_join": jaccard_join.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_merkle_manifest": merkle_manifest.SQL,
 }
