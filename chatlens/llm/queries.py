@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.llm import (
+    conversation_repair,
     decontamination,
     jaccard_join,
     license_templates,
@@ -17,6 +18,7 @@ from chatlens.llm import (
     secret_ownership,
     substring_dedup,
     token_transducer,
+    two_fit_packing,
     url_filter,
 )
 
@@ -99,6 +101,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.line_breaks_removed(_table(spark, sf_dir, "documents")).drop("proof")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op13_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_fit_packing.pack(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        with_ids=False,
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_license_templates": op2_license_templates,
@@ -111,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_two_fit_packing": op13_two_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -119,4 +136,5 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.SQL,
     "op10_quality_rules": quality_rules.SQL,
     "op11_merkle_manifest": merkle_manifest.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
 }
