@@ -2,8 +2,8 @@
 
 Documents are tokenised once and written to the shared folder. The index is sharded by content: the two terms of greatest
 weight route a document. Documents of one first term share a shard; if they have more than ``block_tokens`` tokens they are
-split by the second term, and if one pair of terms has more, by a hash of the row. Each shard is
-indexed in blocks of at most ``block_tokens`` tokens, over token ids with inverse document frequencies of the whole
+split by the second term, and if one pair of terms has more, by a hash of the row. How much a term or pair holds is told by a
+sample of ``FITTED_DOCS`` documents; a shard that outgrows a block is several blocks. Each shard is indexed in blocks of at most ``block_tokens`` tokens, over token ids with inverse document frequencies of the whole
 corpus (a vector as long as the vocabulary). In a block a seed document opens a window; all its terms are looked up, and its
 best unused neighbours that fit are added; if none fits, the best one is cut, fills the window and seeds the next. What a
 block leaves over opens the first window of the next block, and the rest of a shard is cut into sequences whose lengths are
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.blocks import blocks, mix, string_buffers
-from chatlens.llm.shared import stage, texts_of
+from chatlens.llm.byte_tokens import tokenize
+from chatlens.llm.shared import stage
 
 WINDOW = 2048
 END_ID = 1
@@ -32,64 +33,22 @@ BLOCK_TOKENS = 4_000_000
 #: Documents of a block up to which the scores by its commonest terms are one product of matrices, and cells of a matrix.
 DENSE_DOCS, DENSE_CELLS = 4096, 1 << 23
 K1, B = 1.2, 0.75
-
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-
-
-def _encoding(ranks_path: str, pattern: str):
-    import base64
-
-    import tiktoken
-
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def token_ids(text: str, encoding) -> list[int]:
-    """Ids of a text; the special string is its special id, as the tokenizers library reads it by default."""
-    if SPECIAL not in text:
-        return encoding.encode_ordinary(text)
-    first, *rest = text.split(SPECIAL)
-    out = encoding.encode_ordinary(first)
-    for part in rest:
-        out += [SPECIAL_ID, *encoding.encode_ordinary(part)]
-    return out
-
-
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_column: str, text_column: str):
-    """``doc_id``, ``n`` and ``ids`` (16-bit little-endian ids with the end id), a row per row of ``docs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks_path, pattern)
-        for batch in batches:
-            for block in blocks(batch.column("text")):
-                ids = [
-                    np.array([*token_ids(block.text(i).decode(), encoding), END_ID], "<u2")
-                    for i in range(block.count)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(block.first, block.count),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.tobytes() for x in ids], pa.binary()),
-                    ],
-                    names=["doc_id", "n", "ids"],
-                )
-
-    return texts_of(docs, id_column, text_column).mapInArrow(
-        run, "doc_id long, n long, ids binary"
-    )
-
+#: Documents from whose leading terms the bounds of the shards are drawn; every document is indexed.
+FITTED_DOCS = 50_000
+#: Tasks that pack, unless the session asks for more partitions.
+MAX_TASKS = 20_000
 
 def _pairs(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, term and frequency of all terms, by document."""
-    doc = np.repeat(np.arange(len(ids), dtype=np.uint64), [len(x) for x in ids])
-    key = np.sort((doc << np.uint64(16)) | np.concatenate(ids).astype(np.uint64))
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    tf = np.diff(np.append(first, len(key)))
-    key = key[first]
-    return (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int64), tf
+    kind = np.uint32 if len(ids) <= 1 << 16 else np.uint64  # half the bytes sort in half the time
+    doc = np.repeat(np.arange(len(ids), dtype=kind), [len(x) for x in ids])
+    doc <<= kind(16)
+    doc |= np.concatenate(ids)
+    doc.sort()
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    tf = np.diff(np.append(first, len(doc)))
+    key = doc[first]
+    return (key >> kind(16)).astype(np.int64), (key & kind(0xFFFF)).astype(np.int64), tf
 
 
 def _ids_of(column: pa.Array) -> list[np.ndarray]:
@@ -168,6 +127,11 @@ class Shards:
             self.first[a] = number
             filled += n
         self.count = max(1, number + (filled > 0))
+        # Terms that the counts do not hold lie anywhere.
+        unseen = np.ones(1 << 16, bool)
+        unseen[list(totals)] = False
+        at = np.flatnonzero(unseen)
+        self.first[at] = (mix(at.astype(np.uint64)) % np.uint64(self.count)).astype(np.int64)
 
     def of(self, first: np.ndarray, second: np.ndarray, salt: np.ndarray) -> np.ndarray:
         out = self.first[first] + (mix(second) % self.parts[first].astype(np.uint64)).astype(np.int64)
@@ -307,46 +271,55 @@ def pack_block(rows: list[tuple], packer: Packer, idf: np.ndarray, mean: float)
             done += packer.add(rows[seed], size[seed])
 
 
-def _routed(tokens: DataFrame, shared, mean: float, block_tokens: int, n_tokens: int) -> DataFrame:
+def _leading(raw: list[bytes], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    return leading_terms([np.frombuffer(x, "<u2") for x in raw], idf, mean)
+
+
+def fitted_shards(tokens: DataFrame, shared, mean: float, block_tokens: int, n_docs: int, n_tokens: int) -> Shards:
+    """Shards of about ``block_tokens``, from the leading terms of about ``FITTED_DOCS`` documents chosen by a hash."""
+    if n_tokens <= block_tokens:
+        return Shards({END_ID: n_tokens}, {}, max(n_tokens, 1))
+    share = min(1.0, FITTED_DOCS / n_docs)
+    sample = tokens.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < round(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("ids")):
+                first, second = _leading([block.text(i) for i in range(block.count)], shared.value, mean)
+                n = batch.column("n").slice(block.first, block.count)
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), n], names=["first", "second", "n"])
+
+    counted = sample.mapInArrow(run, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
+    totals, pairs = {}, {}
+    for r in counted.collect():  # at most a row per sampled document
+        n = round(r["n"] / share)
+        totals[r["first"]] = totals.get(r["first"], 0) + n
+        if n > block_tokens:
+            pairs[r["first"], r["second"]] = n
+    return Shards(totals, pairs, block_tokens)
+
+
+def _routed(tokens: DataFrame, shared, mean: float, shards: Shards) -> DataFrame:
     """``tokens`` with ``shard``, dealt to the shards; in a shard by leading terms, then in a fixed order."""
 
-    def terms(shards: Shards | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block in blocks(batch.column("ids")):
-                    raw = [block.text(i) for i in range(block.count)]
-                    first, second = leading_terms([np.frombuffer(x, "<u2") for x in raw], shared.value, mean)
-                    part = batch.slice(block.first, block.count)
-                    columns = [pa.array(first), pa.array(second)]
-                    if shards is None:
-                        yield pa.RecordBatch.from_arrays([*columns, part.column("n")], names=["first", "second", "n"])
-                        continue
-                    salt = np.array([zlib.crc32(x) for x in raw], np.uint64)
-                    salt ^= mix(part.column("doc_id").fill_null(0).to_numpy().view(np.uint64))
-                    columns += [pa.array(shards.of(first, second, salt).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns, *columns], names=[*part.schema.names, "first", "second", "shard"]
-                    )
-
-        return run
-
-    shards = Shards({END_ID: n_tokens}, {}, max(n_tokens, 1))
-    if n_tokens > block_tokens:
-        counts = stage(
-            tokens.mapInArrow(terms(None), "first long, second long, n long")
-            .groupBy("first", "second")
-            .agg(F.sum("n").alias("n")),
-            "pack-terms",
-        )
-        totals = counts.groupBy("first").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
-        pairs = counts.where(F.col("n") > block_tokens).collect()  # fewer than blocks
-        shards = Shards(
-            {r["first"]: r["n"] for r in totals}, {(r["first"], r["second"]): r["n"] for r in pairs}, block_tokens
-        )
-    routed = tokens.mapInArrow(
-        terms(shards), "doc_id long, n long, ids binary, first long, second long, shard int"
-    )
-    return routed.repartitionById(shards.count, F.col("shard")).sortWithinPartitions(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("ids")):
+                raw = [block.text(i) for i in range(block.count)]
+                first, second = _leading(raw, shared.value, mean)
+                part = batch.slice(block.first, block.count)
+                salt = np.array([zlib.crc32(x) for x in raw], np.uint64)
+                salt ^= mix(part.column("doc_id").fill_null(0).to_numpy().view(np.uint64))
+                shard = shards.of(first, second, salt).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *map(pa.array, (first, second, shard))],
+                    names=[*part.schema.names, "first", "second", "shard"],
+                )
+
+    routed = tokens.mapInArrow(run, "doc_id long, n long, ids binary, first long, second long, shard int")
+    # As many tasks as shards while these are few; then several shards to a task.
+    tasks = min(shards.count, max(MAX_TASKS, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return routed.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions(
         "shard", "first", "second", "doc_id", "n", "ids"
     )
 
@@ -367,13 +340,14 @@ def pack(
     with_ids: bool = True,
 ) -> DataFrame:
     """A row per piece: its document, place there, checksum, sequence, place there, and ``ids`` (32-bit little-endian)."""
-    tokens = stage(tokenize(docs, ranks_path, pattern, id_column, text_column), "pack-tokens")
+    tokens = stage(tokenize(docs, ranks_path, pattern, END_ID, id_column, text_column), "pack-tokens")
     n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     mean = n_tokens / max(n_docs, 1)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    routed = _routed(tokens, shared, mean, block_tokens, n_tokens)
+    shards = fitted_shards(tokens, shared, mean, block_tokens, n_docs, n_tokens)
+    routed = _routed(tokens, shared, mean, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, shard = None, None

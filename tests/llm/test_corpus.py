@@ -403,7 +403,7 @@ def test_packing(make, texts):
 
 
 def test_packing_on_odd_rows(odd, none):
-    total = retrieval_packing.tokenize(odd, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id", "text")
+    total = retrieval_packing.tokenize(odd, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 1)
     assert sum(r.length for r in _pack(odd).collect()) == sum(r.n for r in total.collect())
     assert _pack(none).count() == 0
 
@@ -467,6 +467,24 @@ def test_shards_are_bounded():
     assert len(set(got[first == 3])) == len(set(got[first == 9])) == 1
 
 
+def test_shards_of_a_sample(make, monkeypatch):
+    """Bounds drawn from a part of the documents; terms that it lacks are spread, and every document is packed."""
+    shards = retrieval_packing.Shards({3: 900, 5: 900, 7: 900}, {}, 1000)
+    got = shards.of(np.arange(1000), np.zeros(1000, np.int64), np.zeros(1000, np.uint64))
+    assert set(got) == {0, 1, 2} and np.bincount(got).max() < 450
+    monkeypatch.setattr(retrieval_packing, "FITTED_DOCS", 40)
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(40)) for _ in range(400)]
+    rows = _pack(make(texts), block_tokens=4000, with_ids=False).collect()
+    _check_pieces(rows, texts)
+    assert len({r.sequence_id >> 32 for r in rows}) > 3
+
+
+def test_packing_of_long_white_space(make):
+    texts = [" " * 2_000_000 + "x", "\n" * 1_500_000 + "a", "\t" * 1_000_000, " \n\t" * 400_000 + "b", "plain"]
+    _check_pieces(_pack(make(texts), with_ids=False).collect(), texts)
+
+
 # --- classifier ---------------------------------------------------------------------------------------------------------
 
 
