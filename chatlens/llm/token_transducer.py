@@ -1,21 +1,26 @@
-"""Token counts by a deterministic transducer over bytes.
+"""Token counts by a deterministic transducer over bytes, compiled from the merges of a tokenizer model.
 
-A merge tokenizer never forms a piece over some borders (before a space that follows another character, around a line break:
-checked against the vocabulary), so a text falls into segments that it splits independently. The machine's states are the
-beginnings of segments; a step reads a byte, and the step over a border goes back to the initial state and emits the tokens of
-the segment that it ends. States come into being as texts need them; what a border emits is asked of the tokenizer once
-per state.
+Of every prefix of a text the tokenizer's last token is determined: it is the one token that ends there and that does not merge
+with the last token of the prefix before it (that is, the two together are tokenised as these two). What later bytes can
+change reaches back no further than the longest token that may still be growing. So a state holds that tail, the last tokens
+of the prefixes in it and how their counts lie to each other, and a transition carries by how much the count of
+the prefix grows (less than 0 where a merge swallows tokens). The weights on a text's way add up to its number of tokens.
+Transitions are compiled when a text first takes them; the tokenizer's library is asked for its pieces and scores only.
 
-A block of texts is cut into chunks of equal length that all step together. A chunk with a border maps every entry state to
-one exit state; a chunk without one is a plain function of its entry state. A scan over the chunks composes these maps: the
-body after a chunk's first border runs at once, its head as soon as the state before it is known.
+Texts are cut into chunks of equal length that all step together. A merge tokenizer never forms a piece over some borders
+(before a space that follows another character, around a line break: checked against the vocabulary), where the machine is in
+its initial state whatever came before, so a chunk with a border maps all entry states to one exit state. The stretch before a
+chunk's first border is run from a guessed state and, in the scan over the chunks, from its true entry state until both runs
+meet, mostly after a few characters; what does not meet is run again by chunk, with a memo of chunk maps.
 
-Defined cases: a null text is empty; an empty text has 0 tokens; segments of more than ``LONG`` bytes are counted by the
-tokenizer itself; repeated rows are counted each; an empty table gives an empty result; other columns are ignored. Rows are
-independent: no shuffle. The machine is emptied when it holds ``MAX_STATES`` states, so memory is bounded.
+Defined cases: a null text is empty; an empty text has 0 tokens; the sign that stands for spaces in pieces (U+2581) is a space,
+as for the library; characters without a piece are counted by their bytes; repeated rows are counted each; an empty
+table gives an empty result; other columns are ignored. A text of any length passes in windows of ``_WINDOW`` bytes. Rows are
+independent: no shuffle. The machine is emptied when it holds ``MAX_TRANSITIONS``, so memory is bounded.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,161 +31,243 @@ from chatlens.llm.blocks import Block, blocks, mix
 from chatlens.llm.shared import texts_of
 
 CHUNK = 256
-LONG = 512
-MAX_STATES = 1 << 21
-#: Transitions that the table has room for: beyond MAX_STATES one block may still add as many as it has bytes.
-_SLOTS = 1 << 23
-_BLOCK = 2 << 20
+#: A window adds at most as many transitions as it has bytes, so the table is at most half full.
+MAX_TRANSITIONS = 1 << 20
+_WINDOW = 1 << 20
+_SLOTS = 1 << 22
 _SPACE, _LINE = 0x20, 0x0A
+_MARK = "▁"
 
 
-class Transducer:
-    """The machine of one tokenizer model (sentencepiece file)."""
+class Merges:
+    """Pieces of a merge tokenizer and the order of its merges."""
 
     def __init__(self, model_path: str):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces) or any("\n" in p for p in pieces):
+        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.score = {}
+        for i in range(model.get_piece_size()):
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
+                self.score[model.id_to_piece(i)] = model.get_score(i)
+        if any(_MARK in p.lstrip(_MARK) for p in self.score) or any("\n" in p for p in self.score):
             raise ValueError("pieces of this model reach over spaces or line breaks")
-        self.base = len(self.library.encode("\n"))
+        if any(c not in self.score for p in self.score for c in p):
+            raise ValueError("pieces of this model hold characters that are no pieces")
+        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
+        self.longest = max(map(len, self.score))
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def split(self, text: str) -> list[str]:
+        """Pieces of a short text by merging the best pair, of equal ones the first, until none is left."""
+        parts = list(text)
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = self.score.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def stand(self, before: str, piece: str) -> bool:
+        """Whether a piece stays as it is behind another (or at the beginning)."""
+        key = before, piece
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) > MAX_TRANSITIONS:
+                self.pairs.clear()
+            known = self.pairs[key] = self.split(before + piece) == ([before, piece] if before else [piece])
+        return known
+
+
+#: The tail that may grow, the last token and the relative count of each prefix from its beginning on, bytes of a character
+#: that is not complete.
+State = tuple[str, tuple[str, ...], tuple[int, ...], bytes]
+INITIAL: State = ("", ("",), (0,), b"")
+
+
+class Transducer:
+    """The machine of one tokenizer model (sentencepiece file)."""
+
+    def __init__(self, model_path: str):
+        self.merges = Merges(model_path)
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(_SLOTS, np.uint64)
         self.next = np.zeros(_SLOTS, np.int32)
-        self.tokens = np.full(_SLOTS, -1, np.int32)
-        self.states = 1
+        self.weight = np.zeros(_SLOTS, np.int8)
+        self.states: list[State] = [INITIAL]
+        self.number = {INITIAL: 0}
+        self.transitions = 0
 
-    def ask(self, segments: list[bytes]) -> np.ndarray:
-        """Tokens of segments, by the tokenizer; a line break before each keeps it from adding its own space."""
-        found = self.library.encode(["\n" + s.decode() for s in segments], num_threads=1)
-        return np.array([len(x) - self.base for x in found], np.int32)
+    def _of(self, state: State) -> int:
+        number = self.number.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
 
-    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The states after one byte each."""
+    def after(self, state: State, byte: int) -> tuple[State, int]:
+        """The state after one more byte, and by how much the count grows."""
+        tail, tokens, counts, begun = state
+        if begun and not 0x80 <= byte < 0xC0 or not begun and 0x80 <= byte < 0xC0:
+            return INITIAL, 0  # inside a character: only from a guessed state, or past the end
+        begun += bytes((byte,))
+        lead = begun[0]
+        if len(begun) < (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
+            return (tail, tokens, counts, begun), 0
+        char = _MARK if byte == _SPACE and len(begun) == 1 else begun.decode()
+        if char not in self.merges.score:
+            return INITIAL, len(begun)  # byte pieces; nothing merges over them
+        tail += char
+        for size in range(min(len(tail), self.merges.longest), 0, -1):
+            piece = tail[-size:]
+            if piece in self.merges.score and self.merges.stand(tokens[-size], piece):
+                break
+        else:
+            raise ValueError(f"no piece ends {tail!r}")
+        grown = counts[-size] + 1
+        keep = len(tail)
+        while keep and tail[-keep:] not in self.merges.prefixes:
+            keep -= 1
+        tokens, counts = (*tokens, piece)[-keep - 1 :], (*counts, grown)[-keep - 1 :]
+        return (tail[len(tail) - keep :], tokens, tuple(c - grown for c in counts), b""), grown
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after one byte each, and what the counts grow by."""
         key = (state.astype(np.uint64) << np.uint64(8)) + byte + np.uint64(1)
         slot = (mix(key) & np.uint64(_SLOTS - 1)).astype(np.int64)
-        seen = self.keys[slot]
-        out = self.next[slot]
-        open_ = np.flatnonzero(seen != key)
+        open_ = np.flatnonzero(self.keys[slot] != key)
         while len(open_):
             seen = self.keys[slot[open_]]
             missing = open_[seen == 0]
             if len(missing):
-                self._add(key[missing])
+                self._compile(np.unique(key[missing]))
             slot[open_] = (slot[open_] + (seen != 0)) & (_SLOTS - 1)
-            seen = self.keys[slot[open_]]
-            hit = seen == key[open_]
-            out[open_[hit]] = self.next[slot[open_[hit]]]
-            open_ = open_[~hit]
-        return out
-
-    def _add(self, keys: np.ndarray) -> None:
-        keys = np.unique(keys)
-        number = np.arange(self.states, self.states + len(keys), dtype=np.int32)
-        self.states += len(keys)
-        slot = (mix(keys) & np.uint64(_SLOTS - 1)).astype(np.int64)
-        while len(keys):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = keys[free]
-            won = free & (self.keys[slot] == keys)
-            self.next[slot[won]] = number[won]
-            keys, number, slot = keys[~won], number[~won], slot[~won]
-            slot = (slot + 1) & (_SLOTS - 1)
+            open_ = open_[self.keys[slot[open_]] != key[open_]]
+        return self.next[slot], self.weight[slot]
+
+    def _compile(self, keys: np.ndarray) -> None:
+        slots = (mix(keys) & np.uint64(_SLOTS - 1)).astype(np.int64)
+        for key, slot in zip(keys.tolist(), slots.tolist(), strict=True):
+            while self.keys[slot] not in (0, key):
+                slot = (slot + 1) & (_SLOTS - 1)
+            if self.keys[slot] == key:
+                continue
+            state, weight = self.after(self.states[(key - 1) >> 8], (key - 1) & 255)
+            self.keys[slot], self.next[slot], self.weight[slot] = key, self._of(state), weight
+            self.transitions += 1
 
     def count(self, block: Block) -> np.ndarray:
         """Tokens of each text of a block."""
-        if self.states > MAX_STATES:
-            self.clear()
+        block = _with_spaces(block)
         # The tokenizer puts a space before every text that is not empty.
         sizes = np.diff(block.offsets)
         full = sizes > 0
-        offsets = np.concatenate(([0], np.cumsum(sizes + full)))
-        data = np.full(offsets[-1], _SPACE, np.uint8)
-        text = np.repeat(np.arange(block.count), sizes + full)
+        begins = np.concatenate(([0], np.cumsum(sizes + full)))
+        data = np.full(begins[-1], _SPACE, np.uint8)
         first = np.zeros(len(data), bool)
-        first[offsets[:-1][full]] = True
+        first[begins[:-1][full]] = True
         data[~first] = block.data
         space, line = data == _SPACE, data == _LINE
         border = first | line
         border[1:] |= (space[1:] & ~space[:-1]) | line[:-1]
-        begins = np.flatnonzero(border)
-        ends = np.append(begins[1:], len(data))[: len(begins)]
-        out = np.zeros(block.count, np.int64)
-        long = ends - begins > LONG
-        if long.any():
-            raw = data.tobytes()
-            asked = self.ask([raw[a:b] for a, b in zip(begins[long], ends[long], strict=True)])
-            np.add.at(out, text[begins[long]], asked)
-            skip = np.repeat(long, ends - begins)
-            data, border, text = data[~skip], border[~skip], text[~skip]
-        if not len(data):
-            return out
-        # Each border emits the segment that ends there; the last byte is followed by a border as well.
-        final = self._run(data, border)
-        begins = np.flatnonzero(border)
-        unknown = np.flatnonzero(self.tokens[final] < 0)
-        if len(unknown):
-            states, pick = np.unique(final[unknown], return_index=True)
-            pick = unknown[pick]
-            ends = np.append(begins[1:], len(data))
-            raw = data.tobytes()
-            self.tokens[states] = self.ask([raw[begins[i] : ends[i]] for i in pick])
-        return out + np.bincount(text[begins], self.tokens[final], block.count).astype(np.int64)
-
-    def _run(self, data: np.ndarray, border: np.ndarray) -> np.ndarray:
-        """The state at the end of each segment, in order."""
+        grown = np.zeros(len(data) + 1, np.int64)
+        state = INITIAL
+        for a in range(0, len(data), _WINDOW):
+            if self.transitions > MAX_TRANSITIONS:
+                self.clear()
+            part = slice(a, a + _WINDOW)
+            weights, exit_ = self._run(data[part], border[part], self._of(state))
+            grown[a + 1 : a + 1 + len(weights)] = weights
+            state = self.states[exit_]
+        total = np.cumsum(grown)
+        return total[begins[1:]] - total[begins[:-1]]
+
+    def _run(self, data: np.ndarray, border: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """What each byte adds, and the state at the end, of bytes entered in a state."""
         n = len(data)
         width = -(-n // CHUNK)
-        padded = np.zeros(width * CHUNK, np.uint8)
-        padded[:n] = data
-        lanes = np.ascontiguousarray(padded.reshape(width, CHUNK).T)
-        marks = np.zeros(width * CHUNK, bool)
-        marks[:n] = border
-        marks[n:] = True  # past the end every byte is a segment of no interest
-        inside = np.zeros(width * CHUNK, bool)
-        inside[:n] = True
-        number = np.cumsum(marks) - 1  # segment of each byte
-        last = np.zeros(len(marks), bool)  # last byte of a segment
-        last[:-1] = marks[1:]
-        last[-1] = True
-        segments = int(border.sum())
-        final = np.zeros(number[-1] + 1, np.int32)
-        marks, last, inside = (x.reshape(width, CHUNK).T for x in (marks, last, inside))
-        number = number.reshape(width, CHUNK).T
-        started = np.logical_or.accumulate(marks, axis=0)
-        # Bodies: every chunk from its first border on.
-        exit_ = np.zeros(width, np.int32)
+
+        def chunks(values: np.ndarray, fill) -> np.ndarray:
+            padded = np.full(width * CHUNK, fill, values.dtype)
+            padded[:n] = values
+            return np.ascontiguousarray(padded.reshape(width, CHUNK).T)
+
+        lanes, marks = chunks(data, _SPACE), chunks(border, True)
+        reached = np.zeros((CHUNK, width), np.int32)
+        weights = np.zeros((CHUNK, width), np.int8)
+        # The guess: a chunk is entered between two segments.
+        state = np.zeros(width, np.int32)
         for t in range(CHUNK):
-            on = np.flatnonzero(started[t] & inside[t])
-            if len(on):
-                state = np.where(marks[t][on], 0, exit_[on])
-                exit_[on] = state = self.step(state, lanes[t][on])
-                done = last[t][on]
-                final[number[t][on[done]]] = state[done]
-        # Heads, in order of the scan: chunks whose entry state is known step together.
-        head = (~started & inside).sum(axis=0)
-        known = np.ones(width, bool)
-        known[1:] = started[-1][:-1]
-        entry = np.concatenate(([0], exit_[:-1]))
-        todo = np.flatnonzero((head > 0) & known)
+            state, weights[t] = self.step(np.where(marks[t], 0, state), lanes[t])
+            reached[t] = state
+        # The scan: the stretch before a chunk's first border again, from what the chunk before is left in.
+        head = np.where(marks.any(axis=0), marks.argmax(axis=0), CHUNK)
+        entries = np.concatenate(([entry], reached[-1][:-1]))
+        todo = np.flatnonzero((head > 0) & (entries != 0))
+        rounds, memo = 0, {}
         while len(todo):
-            state = entry[todo].astype(np.int32)
-            for t in range(int(head[todo].max())):
-                on = np.flatnonzero(head[todo] > t)
-                state[on] = self.step(state[on], lanes[t][todo[on]])
-                done = last[t][todo[on]]
-                final[number[t][todo[on[done]]]] = state[on[done]]
-            # A chunk that is all head hands its exit on to the next.
-            whole = todo[head[todo] == CHUNK]
-            whole_state = state[head[todo] == CHUNK]
-            after = whole + 1
-            fits = after < width
-            entry[after[fits]] = whole_state[fits]
-            todo = after[fits][head[after[fits]] > 0]
-        return final[:segments]
+            if rounds < 4:
+                changed = self._again(lanes, head, reached, weights, todo, entries[todo])
+                after = todo[changed] + 1
+                after = after[after < width]
+                entries[after] = reached[-1][after - 1]
+                todo = after[head[after] > 0]
+                rounds += 1
+                continue
+            # Long stretches that keep their phase: chunk after chunk, equal ones once.
+            k = int(todo[0])
+            key = int(entries[k]), int(head[k]), lanes[:, k].tobytes()
+            before = int(reached[-1][k])
+            if key in memo:
+                reached[:, k], weights[:, k] = memo[key]
+            else:
+                self._again(lanes, head, reached, weights, todo[:1], entries[todo[:1]])
+                if len(memo) < 256:
+                    memo[key] = reached[:, k].copy(), weights[:, k].copy()
+            todo = todo[1:]
+            if int(reached[-1][k]) != before and k + 1 < width:
+                entries[k + 1] = reached[-1][k]
+                if head[k + 1] > 0 and (not len(todo) or todo[0] != k + 1):
+                    todo = np.concatenate(([k + 1], todo))
+        flat = weights.T.reshape(-1)[:n]
+        # Past the end the last chunk is filled with single spaces.
+        end = n - (width - 1) * CHUNK
+        return flat, int(reached[end - 1][width - 1]) if n else entry
+
+    def _again(self, lanes, head, reached, weights, todo: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Runs the heads of chunks from given states until they meet the run before; says whose exit has changed."""
+        state, on = entries.astype(np.int32), np.arange(len(todo))
+        exits = reached[-1][todo].copy()
+        for t in range(int(head[todo].max())):
+            on = on[head[todo[on]] > t]
+            if not len(on):
+                break
+            lane = todo[on]
+            now, weight = self.step(state[on], lanes[t][lane])
+            met = reached[t][lane] == now
+            reached[t][lane], weights[t][lane], state[on] = now, weight, now
+            on = on[~met]
+        return reached[-1][todo] != exits
+
+
+def _with_spaces(block: Block) -> Block:
+    """The block with U+2581 written as a space."""
+    mark = _MARK.encode()
+    if mark not in block.data.tobytes():
+        return block
+    texts = [block.text(i).replace(mark, b" ") for i in range(block.count)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return Block(block.first, data, np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64))
+
+
+@lru_cache(maxsize=2)
+def machine_of(model_path: str) -> Transducer:
+    """One machine for all tasks of a worker."""
+    return Transducer(model_path)
 
 
 def count_tokens(
@@ -193,9 +280,9 @@ def count_tokens(
     """``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more than ``limit`` tokens), a row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model_path)  # one per task
+        machine = machine_of(model_path)
         for batch in batches:
-            for block in blocks(batch.column("text"), _BLOCK):
+            for block in blocks(batch.column("text"), _WINDOW):
                 tokens = machine.count(block)
                 yield pa.RecordBatch.from_arrays(
                     [
