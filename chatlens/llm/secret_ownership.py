@@ -1,6 +1,7 @@
 """Secrets and who holds them: candidates of all texts, counted by distinct repositories and owners over the corpus.
 
-A value that many owners hold is an example copied around; one that a single owner holds looks live. Base candidates
+A value that many owners hold, or that stands in many repositories, is an example copied around; one that few owners hold in
+few repositories looks live. Base candidates
 (assignments, access keys, hex runs) stay whatever the counts say; candidates of the further kinds stay only if live.
 
 Counting goes through partial aggregates at (value, owner, repository), so a value in a third of all rows reaches the
@@ -15,12 +16,13 @@ columns are ignored. Offsets are code points.
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.blocks import Block, blocks
@@ -44,7 +46,7 @@ BASE = (
 FURTHER = (
     ("hosting", re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 0, 36),
     ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]+"), 0, 20),
-    ("signed", re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 40),
+    ("signed", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"), 0, 40),
     ("private", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*"), 0, 40),
     ("random", re.compile(r"[A-Za-z0-9+/_=-]+"), 0, 20),
 )
@@ -52,6 +54,8 @@ FURTHER = (
 MIN_ENTROPY = 3.5
 #: Owners of one value from which it is a copied example.
 EXAMPLE_OWNERS = 5
+#: Repositories of one value from which it is a copied example, however few their owners.
+EXAMPLE_REPOSITORIES = 12
 
 _RANK = {kind: i for i, (kind, *_) in enumerate(BASE + FURTHER)}
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -71,6 +75,18 @@ def _random(value: str) -> bool:
     return mixed and _entropy(value) >= MIN_ENTROPY
 
 
+def _union(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans cover, disjoint and in order."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def candidates(text: str) -> list[tuple[int, str, int, str]]:
     """(start, kind, end, value), sorted by start and kind; further kinds only clear of base spans and of each other."""
     found = []
@@ -78,15 +94,19 @@ def candidates(text: str) -> list[tuple[int, str, int, str]]:
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
                 found.append((m.start(), kind, m.end(), m[group]))
-    taken = [(s, e) for s, _, e, _ in found]
+    starts, ends = _union((s, e) for s, _, e, _ in found)
     for kind, pattern, group, least in FURTHER:
+        added = []  # matches of one pattern do not overlap
         for m in pattern.finditer(text):
             s, e = m.span()
-            if m.end(group) - m.start(group) < least or any(s < y and x < e for x, y in taken):
+            if m.end(group) - m.start(group) < least:
                 continue
-            if kind != "random" or _random(m[0]):
-                found.append((s, kind, e, m[group]))
-                taken.append((s, e))
+            k = bisect_right(ends, s)
+            if k < len(starts) and starts[k] < e or kind == "random" and not _random(m[0]):
+                continue
+            found.append((s, kind, e, m[group]))
+            added.append((s, e))
+        starts, ends = _union([*zip(starts, ends, strict=True), *added])
     return sorted(found, key=lambda c: (c[0], _RANK[c[1]]))
 
 
@@ -170,6 +190,10 @@ def ownership(held: DataFrame) -> DataFrame:
     )
 
 
+def _live(owners: int, repositories: int) -> Callable[[Column], Column]:
+    return lambda c: (c["n_owners"] < owners) & (c["n_repositories"] < repositories)
+
+
 def scan_secrets(
     docs: DataFrame,
     owner: str = "source",
@@ -177,11 +201,14 @@ def scan_secrets(
     id_column: str = "doc_id",
     text_column: str = "text",
     example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
-    """A row per row of ``docs``: base counts and digest, ``found`` (start, kind, stop, owners of the value), ``spans`` text.
+    """A row per row of ``docs``: base counts and digest, ``found`` and ``spans`` (as text).
 
-    ``found`` holds base spans and live ones of further kinds. ``n_live`` and ``n_example`` count values held by fewer
-    than ``example_owners`` owners, and by as many or more. ``text_key`` is the hash of the text.
+    ``found`` (start, kind, stop, the value's owners and repositories) holds base spans and live ones of further kinds. A value
+    is live with fewer than ``example_owners`` owners and ``example_repositories`` repositories; ``n_live`` and ``n_example``
+    count the others apart. ``n_repositories`` is the largest number of repositories of one value of the row, 0 without any.
+    ``text_key`` is the hash of the text.
     """
     slim = docs.select(
         F.col(f"`{id_column}`").cast("long").alias("doc_id"),
@@ -199,11 +226,11 @@ def scan_secrets(
     counts = stage(ownership(one), "secret-owners")
     judged = (
         one.drop("owner", "repository")
-        .join(counts.select("digest", "n_owners"), "digest")
+        .join(counts.select("digest", "n_owners", "n_repositories"), "digest")
         .groupBy("row")
-        .agg(F.collect_list(F.struct("start", "kind", "stop", "n_owners")).alias("judged"))
+        .agg(F.collect_list(F.struct("start", "kind", "stop", "n_owners", "n_repositories")).alias("judged"))
     )
-    live = lambda c: c["n_owners"] < example_owners
+    live = _live(example_owners, example_repositories)
     rank = F.create_map(*[x for kind, i in _RANK.items() for x in (F.lit(kind), F.lit(i))])
     kept = F.filter("judged", lambda c: c["kind"].isin([k for k, *_ in BASE]) | live(c))
     ranked = F.sort_array(
@@ -215,6 +242,7 @@ def scan_secrets(
                 c["kind"].alias("kind"),
                 c["stop"].alias("stop"),
                 c["n_owners"].alias("n_owners"),
+                c["n_repositories"].alias("n_repositories"),
             ),
         )
     )
@@ -236,28 +264,32 @@ def scan_secrets(
             ).alias("spans"),
             F.size(F.filter("judged", live)).cast("long").alias("n_live"),
             F.size(F.filter("judged", lambda c: ~live(c))).cast("long").alias("n_example"),
+            F.coalesce(F.array_max(F.transform("judged", lambda c: c["n_repositories"])), F.lit(0)).alias("n_repositories"),
             F.transform(
                 ranked,
-                lambda c: F.struct(c["start"], c["kind"], c["stop"], c["n_owners"]),
+                lambda c: F.struct(c["start"], c["kind"], c["stop"], c["n_owners"], c["n_repositories"]),
             ).alias("found"),
         )
     )
 
 
 def redact_secrets(
-    docs: DataFrame, mark: str = "[secret]", example_owners: int = EXAMPLE_OWNERS
+    docs: DataFrame,
+    mark: str = "[secret]",
+    example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """``docs`` with every live span of ``text`` replaced by ``mark`` and ``n_chars`` brought up to date.
 
     Copied examples and all other text stay. Other columns are kept as they are.
     """
     spans = (
-        scan_secrets(docs, example_owners=example_owners)
+        scan_secrets(docs, example_owners=example_owners, example_repositories=example_repositories)
         .where(F.col("n_live") > 0)
         .select(
             "doc_id",
             "text_key",
-            F.filter("found", lambda c: c["n_owners"] < example_owners).alias("live"),
+            F.filter("found", _live(example_owners, example_repositories)).alias("live"),
         )
         .dropDuplicates(["doc_id", "text_key"])
         .withColumnsRenamed({"doc_id": "live_id", "text_key": "live_key"})

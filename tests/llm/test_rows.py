@@ -1,15 +1,20 @@
 """Operators that judge each row by itself: quality rules, licences, token counts, and the secrets' base spans."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from oracle import connect, difference
 
 from chatlens.llm import license_templates, quality_rules, secret_ownership, token_transducer
+from chatlens.llm.blocks import blocks
 from chatlens.llm.queries import ORACLES, QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -88,18 +93,65 @@ def test_token_counts(spark, documents, texts, odd, none):
     assert token_transducer.count_tokens(none, MODEL).count() == 0
 
 
-def test_transducer_over_chunks_and_emptied():
-    import pyarrow as pa
+def _counts(machine, texts, limit=1 << 20):
+    return [n for b in blocks(pa.array(texts, pa.string()), limit) for n in machine.count(b).tolist()]
 
-    from chatlens.llm.blocks import blocks
 
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+def test_transducer_over_chunks_and_emptied(library, monkeypatch):
     machine = token_transducer.Transducer(MODEL)
     odd = ["a", " a", "\n", "a\n\nb", " " * 3000 + "a", "é" * 700 + " b", "x" * 600 + "y z", "word " * 400, "\r\n\t a"]
-    want = [len(x) for x in machine.library.encode(odd)]
+    want = [len(x) for x in library.encode(odd)]
     for limit in (1, 64, 1 << 20):
-        machine.states = token_transducer.MAX_STATES + 1
-        got = [n for b in blocks(pa.array(odd), limit) for n in machine.count(b).tolist()]
+        machine.transitions = token_transducer.MAX_TRANSITIONS + 1
+        assert _counts(machine, odd, limit) == want
+    # Windows that cut words and characters, the machine emptied between them.
+    monkeypatch.setattr(token_transducer, "MAX_TRANSITIONS", 5)
+    for window in (1, 7, 300):
+        monkeypatch.setattr(token_transducer, "_WINDOW", window)
+        assert _counts(machine, odd, 64) == want
+
+
+def test_transducer_by_fuzz(library):
+    """Random texts with U+2581, special strings, unknown characters; 20,000 of them."""
+    rnd = random.Random(1)
+    parts = ["a", "b", " ", "  ", "▁", "\n", "é", "😀", "x", "the", "ing", " th", "1", "22", ".", "\t", "\x00", "<s>", "</s>"]
+    parts += ["<0x41>", "\r", "中", "ſ"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(20_000)]
+    assert _counts(token_transducer.machine_of(MODEL), texts) == [len(x) for x in library.encode(texts)]
+    assert _counts(token_transducer.machine_of(MODEL), ["  ▁  x"]) == [2]
+
+
+def test_transducer_on_long_texts(library):
+    rng, machine = np.random.default_rng(1), token_transducer.machine_of(MODEL)
+    digits = "".join(rng.choice(list("0123456789abcdef"), 10_000_000))
+    words = " ".join(digits[i : i + 100] for i in range(0, len(digits), 100))
+    for text in (words, "x" * 2_000_001, ("abcdefg" * 14)[:97] * 9000, "▁ " * 300_000):
+        want = len(library.encode(text)) if len(text) < 3_000_000 else None
+        (got,) = _counts(machine, [text])
+        if want is None:  # by words, as pieces never reach over spaces
+            base = len(library.encode("\n"))
+            want = sum(len(x) - base for x in library.encode(["\n " + w for w in text.split(" ")]))
         assert got == want
+    (got,) = _counts(machine, [" ".join([words] * 3)])
+    assert got == 3 * _counts(machine, [words])[0]
+
+
+def test_weights_are_on_the_transitions(library):
+    """The weights on the way of a text add up to its tokens, byte by byte, whatever was read before."""
+    machine = token_transducer.Transducer(MODEL)
+    for text in ("internationalisation", "the rain in Spain", "é中😀a"):
+        state, total = token_transducer.INITIAL, 0
+        for k, byte in enumerate((" " + text).encode()):
+            state, weight = machine.after(state, byte)
+            total += weight
+            if not state[3] and k:
+                prefix = (" " + text).encode()[: k + 1].decode()
+                assert total == len(library.encode(prefix[1:]))
 
 
 def _base(text):
@@ -141,6 +193,59 @@ def test_ownership_decides(make):
     assert [r.spans for r in many if r.doc_id == 6] == ["random:5:27"]
 
 
+def test_repositories_decide(spark):
+    """Values with as many owners; only the one in many repositories is an example."""
+    few, many = "zQ9xK2mB7vL4nR8tW1yP5c", "aB3dE5fG7hJ9kL2mN4pQ6r"
+    rows = [(i, f"see {few} ok", "en", f"s{i % 2}") for i in range(14)]
+    rows += [(100 + i, f"see {many} ok", f"l{i}", f"s{i % 2}") for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for r in secret_ownership.scan_secrets(docs).collect():
+        if r.doc_id < 100:
+            assert (r.spans, r.n_live, r.n_example, r.n_repositories) == ("random:4:26", 1, 0, 2)
+            assert [(c.n_owners, c.n_repositories) for c in r.found] == [(2, 2)]
+        else:
+            assert (r.spans, r.n_live, r.n_example, r.n_repositories) == ("", 0, 1, 14)
+    masked = {r.doc_id: r.text for r in secret_ownership.redact_secrets(docs).collect()}
+    assert masked[3] == "see [secret] ok" and masked[103] == f"see {many} ok"
+
+
+def test_candidates_take_linear_time():
+    rnd = random.Random(3)
+    digits = lambda n: " ".join(f"{rnd.getrandbits(80):020x}" for _ in range(n))
+    keys = lambda n: " ".join(f"ghp_{rnd.getrandbits(200):050x}Z" for _ in range(n))
+    dots = lambda n: "eyJ" * n + " " + "eyJ." * n + "eyJ-a" * n
+
+    def seconds(text):
+        start = time.process_time()
+        secret_ownership.candidates(text)
+        return time.process_time() - start
+
+    for make_text, small in ((digits, 5_000), (keys, 2_000), (dots, 10_000)):
+        seconds(make_text(small))
+        assert seconds(make_text(20 * small)) < 60 * max(seconds(make_text(small)), 0.02)
+
+
+def test_candidates_do_not_overlap():
+    """The same as comparing every match with every span before it."""
+    rnd = random.Random(5)
+    parts = ["token=", "abcdef0123456789", "AKIA", "0123456789ABCDEFGH", " ", "ghp_", "eyJ", ".", "a1B2c3D4e5F6g7H8i9J0", "-", "_", "xoxb-"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25)))
+        kinds = {k for k, *_ in secret_ownership.BASE}
+        found = secret_ownership.candidates(text)
+        taken = [(s, e) for s, k, e, _ in found if k in kinds]
+        want = [c for c in found if c[1] in kinds]
+        for kind, pattern, group, least in secret_ownership.FURTHER:
+            for m in pattern.finditer(text):
+                s, e = m.span()
+                if m.end(group) - m.start(group) < least or any(s < y and x < e for x, y in taken):
+                    continue
+                if kind != "random" or secret_ownership._random(m[0]):
+                    want.append((s, kind, e, m[group]))
+                    taken.append((s, e))
+        assert sorted(found) == sorted(want)
+
+
 def test_masking(make, odd, none):
     rows = {r.doc_id: r for r in secret_ownership.redact_secrets(make(["ü password=abcdefgh12345678 x", None, "clean"])).collect()}
     assert rows[0].text == "ü [secret] x" and rows[0].n_chars == 12
