@@ -15,8 +15,8 @@ class Pattern:
 
     Most texts hold none, so each pattern comes with a cheap screen that every match passes: a literal
     it contains (``needs``) and simpler regexes that all occur in it (``forms``, cheapest first).
-    ``forms_with_letters`` tells that a form can match letters. ``guard`` is a form that every match holds
-    and that takes linear time on any text; it is tested on the very text the regex is to run on.
+    ``forms_with_letters`` tells that a form can match letters. ``scan`` finds what ``regex`` finds in linear
+    time; what its first group takes is no part of the match.
     """
 
     name: str
@@ -25,7 +25,7 @@ class Pattern:
     needs: str | None = None
     forms: tuple[str, ...] = ()
     forms_with_letters: bool = False
-    guard: str | None = None
+    scan: str | None = None
 
 
 _DIGITS = "[0-9]{4}"
@@ -60,12 +60,17 @@ _HOST = rf"[\w-]++(?:-*+(?:{_DEAD})*+{_LIVE})++\b"
 # the last hyphen of the last label, or else at the end of an earlier one.
 _INNER = rf"(?:-*+(?:{_DEAD}(?=\.))*+{_LIVE}(?=-*+\.))"
 _HYPHEN = rf"[\w-]++{_INNER}*+-*+(?:{_DEAD}(?=\.))*+\.[\w-](?:\w*+-)++\b"
+_AT_HOST = rf"@(?:{_HYPHEN}(?![\w.-])|{_HOST}|{_HYPHEN}|[\w-]++{_INNER}++\b)"
+# From every word border the part before the sign is read to its end, so a long run of borders without the
+# sign takes quadratic time. All borders of a run lead to the same sign: the first one decides. It is where
+# the run begins, or behind what stands there before it; or where the match before ended.
+_FIRST_BORDER = r"(?:\G|(?<![\w.-]))(?:\b|(?!\b)([.-]++|\w++)\b)"
 EMAIL = Pattern(
     "EMAIL",
-    rf"\b[\w\-\.]++@(?:{_HYPHEN}(?![\w.-])|{_HOST}|{_HYPHEN}|[\w-]++{_INNER}++\b)",
+    rf"\b[\w\-\.]++{_AT_HOST}",
     "Email",
     needs="@",
-    guard=r"@[\w-]++\.[\w-]",
+    scan=rf"{_FIRST_BORDER}[\w.-]++{_AT_HOST}",
 )
 IBAN = Pattern(
     "IBAN",
@@ -165,17 +170,16 @@ def first_test(pattern: Pattern) -> str | None:
 
 
 def matches(text: Column, pattern: Pattern) -> Column:
-    """Whether the regex matches, behind its guard."""
-    test = text.rlike(pattern.regex)
-    return test if pattern.guard is None else text.rlike(pattern.guard) & test
+    """Whether the regex matches."""
+    return text.rlike(pattern.scan or pattern.regex)
 
 
 def replaced(text: Column, pattern: Pattern) -> Column:
-    """The text with the label in place of every match, behind the pattern's guard."""
-    new = F.regexp_replace(text, pattern.regex, quoted_replacement(pattern.label))
-    if pattern.guard is None:
-        return new
-    return F.when(text.rlike(pattern.guard), new).otherwise(text)
+    """The text with the label in place of every match."""
+    label = quoted_replacement(pattern.label)
+    if pattern.scan is None:
+        return F.regexp_replace(text, pattern.regex, label)
+    return F.regexp_replace(text, pattern.scan, "$1" + label)
 
 
 def found(text: Column, pattern: Pattern) -> Column:

@@ -1,5 +1,6 @@
 """Sensitive data: golden rows, equivalence with the plain regexes, and properties."""
 
+import random
 import time
 
 import duckdb
@@ -174,6 +175,43 @@ def test_hosts_of_many_labels_match_an_engine_without_recursion(spark, labels):
         assert r.AN_MSGTEXT == con.execute(sql, [r.MSGTEXT, PLAIN_EMAIL]).fetchall()[0][0]
 
 
+def _random_lines(seed, count):
+    rnd = random.Random(seed)
+    pieces = ["a", "bb", ".", "..", "-", "--", "_", "@", "@", "@c.dd", "@c.d", "è", "é.", " ", ",", ".-", "x@y.zz", "4"]
+    return ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 18))) for _ in range(count)]
+
+
+def test_the_email_scan_finds_what_the_plain_regex_finds(spark):
+    """Also right behind a match, behind letters beyond ASCII, and where a run begins with dots."""
+    lines = [*_random_lines(1, 20_000), "x@y.zz.@b.cc", "é.-a@b.cc", "éa@b.cc", "éa.b@c.dd", ".-.a@b.cc", "a@b@c.dd", "a@b.cc@d.ee"]
+    df = texts(spark, *lines)
+    scan = F.regexp_replace("MSGTEXT", P.EMAIL.scan, "$1<E>")
+    plain = F.regexp_replace("MSGTEXT", PLAIN_EMAIL, "<E>")
+    assert df.filter((scan != plain) | (F.col("MSGTEXT").rlike(P.EMAIL.scan) != F.col("MSGTEXT").rlike(PLAIN_EMAIL))).collect() == []
+    assert df.filter(F.col("MSGTEXT").rlike(PLAIN_EMAIL)).count() > 3000
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "concat('x@y.zz ', repeat('a.-', 333333))",
+        "concat('x@y.zz ', repeat('a.-', 333333), '@y.z ')",
+        "concat('x@y.zz @', repeat('a.-', 333333), '@ ')",
+        "concat('x@y.zz', repeat('.-a', 333333))",
+        "concat('x@y.zz ', repeat('-', 1000000), '@c.d')",
+        "repeat('a@b.c-', 160000)",
+        "repeat('è.a@', 250000)",
+    ],
+)
+def test_the_email_scan_takes_linear_time(spark, text):
+    df = spark.range(1).select(F.expr(text).alias("MSGTEXT"))
+    redact.pii_redact(df, patterns=(P.EMAIL,)).collect()
+    begin = time.monotonic()
+    redact.pii_redact(df, patterns=(P.EMAIL,)).collect()
+    redact.pii_flags(df, patterns=(P.EMAIL,)).collect()
+    assert time.monotonic() - begin < 3
+
+
 def test_a_long_run_without_address_takes_linear_time(spark):
     df = spark.range(1).select(F.expr("concat('a@ ', repeat('a.-', 400000))").alias("MSGTEXT"))
     begin = time.monotonic()
