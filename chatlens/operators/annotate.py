@@ -276,3 +276,20 @@ def flatten_struct(df: DataFrame, column: str, sep: str = "_") -> DataFrame:
 def response_schema(df: DataFrame, column: str = "parsed") -> DataFrame:
     """One row: the schema that covers all parsed responses, as text for ``from_json``."""
     return df.agg(F.schema_of_variant_agg(column).alias("schema"))
+
+
+def flatten_discovered(
+    df: DataFrame, column: str = "parsed", drop: Sequence[str] = ("chats", "json_string", "prompt"), sep: str = "_"
+) -> DataFrame:
+    """One column per leaf of the responses, with no feature declared: the schema is what all of them hold together.
+
+    It is found in a pass of its own (a partial aggregate) and is all that the driver sees. Leaves are named
+    by their path; lists stay lists, the rest becomes text. Without any object there are no columns to add.
+    """
+    found = response_schema(df, column).first()["schema"] or ""
+    rest = df.drop(*drop)
+    if not found.startswith("OBJECT<"):
+        return rest.drop(column)
+    # What a variant calls an object a column calls a struct; keys that are all null have no kind.
+    kind = found.replace("OBJECT<", "STRUCT<").replace(": VOID", ": STRING")
+    return flatten_struct(rest.withColumn(column, F.try_variant_get(column, "$", kind)), column, sep)

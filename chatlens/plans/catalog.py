@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatlens.functions.features import CLOSED, CLOSED_LIST, DEFAULT_FEATURES, alias_map
 from chatlens.operators import agreement, annotate, clean, conversations, insights, redact, stats
 from chatlens.plans import adapters as A
-from chatlens.plans.stages import annotate_stage
+from chatlens.plans.stages import annotate_stage, feature_stage
+from chatlens.schema import CHAT, CHAT_COLUMNS, CORRUPT_LINE
 from chatlens.sources import (
+    read_chat_log,
     register_views,
     rename_positional,
     sample_by_ids,
     sample_top_conversations,
+    scratch_path,
+    write_table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,3 +315,80 @@ _on(
     all_na_rows=lambda p: insights.all_na_rows(p, A.SCALARS).select("INTERACTION_ID"),
     all_na_count=lambda p: insights.all_na_count(p, A.SCALARS),
 )
+
+
+# Blocks of events, responses whose keys nobody declared
+
+_on(
+    A.dialogue_parts,
+    merge_parts=lambda parts: feature_stage(parts, A.BLOCK_FEATURES),
+)
+_on(
+    A.responses,
+    flatten_discovered=lambda r: annotate.flatten_discovered(_parsed(r).drop("response", "success")),
+)
+
+# The default scheme
+
+_on(
+    A.italian_features,
+    italian_features=lambda f: f.drop("response"),
+    italian_out_of_vocabulary=lambda f: insights.out_of_vocabulary_values(f, DEFAULT_FEATURES),
+    italian_generated_items=lambda f: insights.generated_item_counts(
+        insights.generated_list_items(f, DEFAULT_FEATURES), "generated_Emozioni_cliente"
+    ),
+    italian_topics=lambda f: insights.classify_topics(f, "Argomento_conversazione"),
+    italian_list_sizes=lambda f: insights.list_size_stats(f, ("Emozioni_cliente", "Argomento_conversazione")),
+)
+
+
+def _italian_agreement(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    people = agreement.align_columns(A.italian_annotations(spark, sf_dir), alias_map(DEFAULT_FEATURES))
+    emotions = [f.name for f in DEFAULT_FEATURES if f.kind == CLOSED_LIST]
+    people = agreement.normalise_annotations(people, emotions, ("Tono_cliente", "Tono_operatore"))
+    model = agreement.primary_emotion(A.italian_features(spark, sf_dir), emotions)
+    return model, people, [f.name for f in DEFAULT_FEATURES if f.kind in (CLOSED, CLOSED_LIST)]
+
+
+def italian_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mismatch table with its average row, from files and responses under the default scheme."""
+    model, people, features = _italian_agreement(spark, sf_dir)
+    return comparable(agreement.mismatch_with_average(agreement.mismatch_counts(model, people, features)))
+
+
+def italian_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, people, features = _italian_agreement(spark, sf_dir)
+    return comparable(agreement.disagreement_sets(model, people, features))
+
+
+QUERIES["italian_mismatch"] = italian_mismatch
+QUERIES["italian_disagreement"] = italian_disagreement
+
+
+# Reading and writing
+
+
+def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw log from CSV files with malformed lines, and which lines are."""
+    log = read_chat_log(spark, A.log_files(spark, sf_dir), multi_line=True, corrupt_column=CORRUPT_LINE)
+    return log.withColumn(CORRUPT_LINE, F.col(CORRUPT_LINE).isNotNull()).withColumnRenamed(CORRUPT_LINE, "malformed")
+
+
+def written_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned log from a table whose partition column has one hot value."""
+    path = scratch_path(spark, "chat-by-type")
+    write_table(A.chat_log(spark, sf_dir), path, partition_by=("USERTYPE",))
+    return comparable(spark.read.parquet(path).select(*CHAT_COLUMNS))
+
+
+def written_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned log from a CSV table in global order."""
+    path = scratch_path(spark, "chat-in-order")
+    write_table(A.chat_log(spark, sf_dir), path, fmt="csv", sort_by=("INTERACTION_ID", "EVENT_ID"))
+    return comparable(read_chat_log(spark, path, sep=",", schema=CHAT, multi_line=True))
+
+
+QUERIES["read_chat_log"] = read_log
+QUERIES["read_annotations"] = lambda spark, sf_dir: comparable(A.annotation_files(spark, sf_dir))
+QUERIES["write_table"] = written_log
+QUERIES["write_table_sorted"] = written_in_order

@@ -5,7 +5,7 @@ vocabularies, are shared with the Spark side.
 """
 
 from chatlens.functions import patterns as P
-from chatlens.functions.features import CLOSED, DEFAULT_TOPIC_RULES
+from chatlens.functions.features import CLOSED, CLOSED_LIST, DEFAULT_FEATURES, DEFAULT_TOPIC_RULES
 from chatlens.plans import adapters as A
 from chatlens.plans.catalog import LISTED_IDS, PROMPT, SAMPLE_SIZE
 from chatlens.schema import CHAT_COLUMNS, RAW_CHAT_COLUMNS
@@ -57,7 +57,7 @@ VIEWS = {
     "messages": f"SELECT {_columns(A.DOCUMENT_COLUMNS)} FROM documents"
     f" UNION ALL SELECT {_columns(A.PAGE_COLUMNS)} FROM pages"
     f" UNION ALL SELECT {_columns(A.MESSAGE_COLUMNS)} FROM conversations c",
-    "predictions": f"SELECT {_columns(A.PREDICTION_COLUMNS)} FROM (SELECT DISTINCT conv_id FROM conversations) d",
+    "predictions": f"SELECT {_columns(A.PREDICTION_COLUMNS)} FROM picks",
     "parsed": f"SELECT * EXCLUDE (client_tone_variant) REPLACE ({FIXED_TONE} AS client_tone,"
     f" {_list('client_emotions', '[[:space:]' + chr(39) + '\\[\\]]')} AS client_emotions,"
     f" {_list('operator_emotions', '[[:space:]' + chr(39) + '\\[\\]]')} AS operator_emotions,"
@@ -71,9 +71,12 @@ NEEDS = {
     "raw": ("raw0",),
     "good": ("raw0", "raw"),
     "chat": ("raw0", "raw", "good"),
-    "parsed": ("predictions",),
-    "annotations": ("predictions",),
-    "responses": ("predictions",),
+    "dialogue_docs": ("dialogues",),
+    "picks": ("dialogues", "dialogue_docs"),
+    "predictions": ("dialogues", "dialogue_docs", "picks"),
+    "parsed": ("dialogues", "dialogue_docs", "picks", "predictions"),
+    "annotations": ("dialogues", "dialogue_docs", "picks", "predictions"),
+    "responses": ("dialogues", "dialogue_docs", "picks", "predictions"),
 }
 
 
@@ -270,15 +273,21 @@ _register(
 
 # Conversations and responses
 
-DOCS = {
-    "docs": "SELECT INTERACTION_ID, count(*) AS messages, CAST(to_json(list("
-    "{'USERNICK': USERNICK, 'USERTYPE': USERTYPE, 'AN_MSGTEXT': t} ORDER BY EVENT_ID, USERNICK, USERTYPE, t)) AS VARCHAR) AS json_string"
-    f" FROM (SELECT *, {REDACTED} AS t FROM chat) GROUP BY INTERACTION_ID"
-}
+def _documents(source: str, *keys: str) -> str:
+    """Messages of each conversation as JSON text."""
+    key = ", ".join(keys)
+    return (
+        f"SELECT {key}, count(*) AS messages, CAST(to_json(list("
+        "{'USERNICK': USERNICK, 'USERTYPE': USERTYPE, 'AN_MSGTEXT': t} ORDER BY EVENT_ID, USERNICK, USERTYPE, t)) AS VARCHAR) AS json_string"
+        f" FROM (SELECT *, {REDACTED} AS t FROM {source}) GROUP BY {key}"
+    )
+
 
+DOCS = {"docs": _documents("chat", "INTERACTION_ID")}
 
-def _lexicon(feature: str) -> str:
-    rules = A.LEXICON[feature]
+
+def _lexicon(feature: str, lexicon=A.LEXICON) -> str:
+    rules = lexicon[feature]
     return (
         "CASE "
         + " ".join(f"WHEN regexp_matches(json_string, {lit('(?i)' + r)}) THEN {lit(v)}" for v, r in rules)
@@ -286,6 +295,17 @@ def _lexicon(feature: str) -> str:
     )
 
 
+def _read_by_model(docs: str, *keys: str) -> str:
+    """What the model reads in each document."""
+    found = ", ".join(f"{_lexicon(f, A.MODEL_LEXICON)} AS {f}" for f in A.MODEL_LEXICON)
+    return f"SELECT {', '.join(keys)}, {found} FROM {docs}"
+
+
+VIEWS["dialogues"] = (
+    f"SELECT {_columns(A.DIALOGUE_COLUMNS)}, {A.MESSAGE_COLUMNS['MSGTEXT']} AS MSGTEXT FROM conversations c"
+)
+VIEWS["dialogue_docs"] = _documents("dialogues", "INTERACTION_ID")
+VIEWS["picks"] = _read_by_model("dialogue_docs", "CAST(INTERACTION_ID AS BIGINT) AS conv_id")
 LEXICON_JSON = (
     "concat('{', "
     + ", ',', ".join(f"""'"{f}":"', {_lexicon(f)}, '"'""" for f in A.LEXICON)
@@ -443,3 +463,123 @@ _register(
     all_na_rows=f"SELECT INTERACTION_ID FROM parsed WHERE {ALL_NA}",
     all_na_count=f"SELECT count(*) AS all_na FROM parsed WHERE {ALL_NA}",
 )
+
+# Blocks of events, responses whose keys nobody declared
+
+PART = f"CAST(floor((EVENT_ID-1)/{A.BLOCK_EVENTS}) AS INT) AS PART"
+BLOCKS = {
+    "numbered_parts": f"SELECT *, {PART} FROM dialogues",
+    "parts": _documents("numbered_parts", "INTERACTION_ID", "PART"),
+    "part_picks": _read_by_model("parts", "INTERACTION_ID", "PART"),
+}
+
+
+def _first_available(feature: str) -> str:
+    return f"coalesce(arg_min({feature}, PART) FILTER (WHERE {feature} <> 'NA'), 'NA') AS {feature}"
+
+
+def _united(feature: str) -> str:
+    """A list's values in the order of the parts in which they first come."""
+    return (
+        f"(SELECT CAST(to_json(list(v ORDER BY p)) AS VARCHAR) FROM (SELECT {feature} AS v, min(PART) AS p FROM part_picks q"
+        f" WHERE q.INTERACTION_ID = m.INTERACTION_ID GROUP BY {feature})) AS {feature}"
+    )
+
+
+_register(
+    "dialogues",
+    BLOCKS,
+    merge_parts="SELECT INTERACTION_ID, true AS success, resolution, language_level, "
+    + ", ".join(_united(f.name) for f in A.BLOCK_FEATURES if f.is_list)
+    + ", summary FROM (SELECT INTERACTION_ID, "
+    + ", ".join(_first_available(f.name) for f in A.BLOCK_FEATURES if not f.is_list)
+    + " FROM part_picks GROUP BY INTERACTION_ID) m",
+)
+_register(
+    "responses",
+    NUMBERED,
+    flatten_discovered=f"SELECT INTERACTION_ID, {as_json(EMOTIONS)} AS emotions, j->>'$.extra' AS extra,"
+    " coalesce(j->>'$.again', j->>'$.resolution') AS resolution, j->>'$.tone.client' AS tone_client,"
+    " j->>'$.tone.mood' AS tone_mood FROM numbered",
+)
+
+# The default scheme: rows as the responses were made from, without the detour by way of JSON.
+
+ITALIAN = {
+    "italian": f"SELECT {_columns(A.ITALIAN_COLUMNS)} FROM picks",
+    "italian_rows": "SELECT INTERACTION_ID, conv_id, resolution AS Risoluzione_richiesta, satisfaction AS Soddisfazione_cliente,"
+    " [emotion, second_emotion] AS Emozioni_cliente, [operator_emotion] AS Emozioni_operatore, client_tone AS Tono_cliente,"
+    " operator_tone AS Tono_operatore, language_level AS Livello_linguistico_cliente, [topic] AS Argomento_conversazione,"
+    " summary AS Riassunto_conversazione FROM italian",
+    "italian_people": "SELECT annotator, INTERACTION_ID, Risoluzione_richiesta_cliente AS Risoluzione_richiesta,"
+    " Percezione_soddisfazione_cliente AS Soddisfazione_cliente,"
+    f" {_main_emotion('Emozione_prevalente_cliente')} AS Emozioni_cliente, {_main_emotion('Emozione_prevalente_operatore')} AS Emozioni_operatore,"
+    " CASE WHEN Tono_conversazione_cliente IN ('Formale','Informale') THEN 'Neutrale' ELSE Tono_conversazione_cliente END AS Tono_cliente,"
+    " CASE WHEN Tono_conversazione_operatore IN ('Formale','Informale') THEN 'Neutrale' ELSE Tono_conversazione_operatore END AS Tono_operatore,"
+    f" Livello_linguistico_cliente FROM (SELECT a.annotator, {_columns(A.ITALIAN_ANNOTATION_COLUMNS)} FROM italian p CROSS JOIN (VALUES "
+    + ", ".join(f"('{a}', {k})" for a, k in A.ANNOTATORS)
+    + ") a(annotator, k))",
+}
+ITALIAN_SINGLE = [f for f in DEFAULT_FEATURES if f.kind == CLOSED]
+ITALIAN_LISTS = [f for f in DEFAULT_FEATURES if f.is_list]
+ITALIAN_COMPARED = [f.name for f in DEFAULT_FEATURES if f.kind in (CLOSED, CLOSED_LIST)]
+ITALIAN_EMOTION = next(f for f in DEFAULT_FEATURES if f.name == "Emozioni_cliente")
+ITALIAN["italian_compared"] = (
+    "SELECT h.annotator, m.INTERACTION_ID, "
+    + ", ".join(
+        f"coalesce({f'm.{f}[1]' if f.startswith('Emozioni') else f'm.{f}'} <> h.{f}, false) AS {f}" for f in ITALIAN_COMPARED
+    )
+    + " FROM italian_rows m JOIN italian_people h ON m.INTERACTION_ID = h.INTERACTION_ID"
+)
+ITALIAN_DIFFS = ", ".join(f"count(*) FILTER (WHERE {f}) AS diff_{f}" for f in ITALIAN_COMPARED)
+ITALIAN_COUNTS = f"SELECT annotator, {ITALIAN_DIFFS} FROM italian_compared GROUP BY annotator"
+ITALIAN_LISTED = ", ".join(as_json(f.name) + f" AS {f.name}" for f in ITALIAN_LISTS)
+_register(
+    "picks",
+    ITALIAN,
+    italian_features=f"SELECT * EXCLUDE (conv_id) REPLACE ({ITALIAN_LISTED}), true AS success,"
+    """ CASE WHEN conv_id%3=2 THEN concat('{"Nota":', conv_id, '}') END AS other_keys FROM italian_rows""",
+    italian_out_of_vocabulary="SELECT feature, value, count(*) AS rows FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{f.name}' AS feature, {f.name} AS value FROM italian_rows WHERE {f.name} NOT IN {_in(f)}" for f in ITALIAN_SINGLE
+    )
+    + ") GROUP BY feature, value",
+    italian_generated_items=f"SELECT item, count(*) AS count FROM (SELECT unnest(Emozioni_cliente) AS item FROM italian_rows)"
+    f" WHERE item NOT IN {_in(ITALIAN_EMOTION)} GROUP BY item",
+    italian_topics=f"SELECT topic, count(*) AS n, {_classes(DEFAULT_TOPIC_RULES, 'Altro')} AS topic_class FROM italian GROUP BY topic",
+    italian_list_sizes='SELECT round(avg(len(Emozioni_cliente)), 2) AS "avg_Emozioni_cliente",'
+    ' round(avg(len(Argomento_conversazione)), 2) AS "avg_Argomento_conversazione" FROM italian_rows',
+    italian_mismatch="SELECT annotator, "
+    + ", ".join(f"diff_{f}::DOUBLE AS diff_{f}" for f in ITALIAN_COMPARED)
+    + f" FROM ({ITALIAN_COUNTS}) UNION ALL SELECT 'average', "
+    + ", ".join(f"avg(diff_{f})" for f in ITALIAN_COMPARED)
+    + f" FROM ({ITALIAN_COUNTS})",
+    italian_disagreement="SELECT INTERACTION_ID, "
+    + ", ".join(
+        f"coalesce(CAST(to_json(list(annotator ORDER BY annotator) FILTER (WHERE {f})) AS VARCHAR), '[]') AS {f}"
+        for f in ITALIAN_COMPARED
+    )
+    + " FROM italian_compared GROUP BY INTERACTION_ID",
+)
+
+# Reading and writing
+
+_register(
+    "raw",
+    read_chat_log="SELECT "
+    + ", ".join(
+        c if k < 10 else f"CASE WHEN EVENT_ID='7' THEN NULL ELSE {c} END AS {c}" for k, c in enumerate(RAW_CHAT_COLUMNS)
+    )
+    + ", EVENT_ID IN ('7','9') AS malformed FROM raw",
+)
+_register(
+    "annotations",
+    read_annotations="SELECT annotator, INTERACTION_ID, "
+    + ", ".join(
+        f"CASE WHEN annotator IN ({', '.join(lit(a) for a, cs in A.LACKING.items() if c in cs) or 'NULL'}) THEN NULL ELSE {c} END AS {c}"
+        for c in A.ANNOTATION_COLUMNS
+        if c not in ("annotator", "INTERACTION_ID")
+    )
+    + " FROM annotations",
+)
+_register("chat", write_table=f"SELECT {CHAT_AS_TEXT} FROM chat", write_table_sorted=f"SELECT {CHAT_AS_TEXT} FROM chat")

@@ -1,6 +1,7 @@
 """Readers, writers and conversation samplers."""
 
 from chatlens.sources.sampling import sample_by_ids, sample_top_conversations
+from chatlens.sources.scratch import scratch_path, shared_folder
 from chatlens.sources.tables import (
     read_annotations,
     read_chat_log,
@@ -16,5 +17,7 @@ __all__ = [
     "rename_positional",
     "sample_by_ids",
     "sample_top_conversations",
+    "scratch_path",
+    "shared_folder",
     "write_table",
 ]

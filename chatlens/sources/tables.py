@@ -59,12 +59,17 @@ def rename_positional(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def read_annotations(
     spark: SparkSession,
     paths: Mapping[str, str],
-    schema: T.StructType,
+    schema: T.StructType | Mapping[str, T.StructType],
     sep: str = ";",
 ) -> DataFrame:
-    """One CSV per annotator, as one long table with an ``annotator`` column."""
+    """One CSV per annotator, as one long table with an ``annotator`` column.
+
+    Files may have different columns, or the same in another order: then ``schema`` gives each annotator's.
+    What a file lacks is null.
+    """
+    schemas = schema if isinstance(schema, Mapping) else dict.fromkeys(paths, schema)
     frames = [
-        read_chat_log(spark, path, sep=sep, schema=schema).withColumn("annotator", F.lit(name))
+        read_chat_log(spark, path, sep=sep, schema=schemas[name]).withColumn("annotator", F.lit(name))
         for name, path in paths.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

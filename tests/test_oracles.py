@@ -31,4 +31,4 @@ def test_known_answers(spark, sf_dir):
     assert (summary.total_rows, summary.conversations) == (977, 20)
     assert (summary.human_messages, summary.system_messages) == (261, 177)
     assert QUERIES["client_return_summary"](spark, sf_dir).first().returning_clients == 2
-    assert QUERIES["out_of_vocabulary_counts"](spark, sf_dir).first().resolution == 5
+    assert QUERIES["out_of_vocabulary_counts"](spark, sf_dir).first().resolution == 2
