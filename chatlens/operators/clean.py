@@ -1,6 +1,7 @@
 """Error rows, types and participant attributes of a raw chat log."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,10 @@ def cast_event_columns(df: DataFrame) -> DataFrame:
     )
 
 
+#: Stands for an EVENT_ID that is null or no number: before all others.
+_NO_EVENT = -(1 << 40)
+
+
 def first_event_attributes(
     df: DataFrame,
     columns: Sequence[str] = USER_ATTRIBUTES,
@@ -98,20 +103,31 @@ def first_event_attributes(
 ) -> DataFrame:
     """One row per USER_ID with the attributes of its first event.
 
-    A partial aggregate, so the events of a hot user are reduced before the shuffle. Events with equal
-    EVENT_ID are settled by conversation, time and the attributes themselves.
+    In two steps: the least event number of each user is a hash aggregate over one number, partial before the
+    shuffle, so a hot user is a row per task; then the rows that carry it, few, are compared by conversation,
+    time and the attributes themselves. A single minimum over texts would sort the whole log instead.
+    With ``ignore_nulls`` each attribute has a first event of its own.
     """
-    position = [F.col("EVENT_ID").try_cast("int"), F.col("INTERACTION_ID"), F.col("DATE_TIME")]
+    number = F.coalesce(F.col("EVENT_ID").try_cast("int").cast("bigint"), F.lit(_NO_EVENT))
+    events = df.select("USER_ID", "INTERACTION_ID", "DATE_TIME", *columns, number.alias("__event"))
+    event = F.col("__event")
+    asked = {c: F.when(F.col(c).isNotNull(), event) for c in columns} if ignore_nulls else {"all": event}
+    least = events.groupBy(F.col("USER_ID").alias("__user")).agg(
+        *[F.min(e).alias(f"__first_{i}") for i, e in enumerate(asked.values())]
+    )
+    carries = {c: e == F.col(f"__first_{i}") for i, (c, e) in enumerate(asked.items())}
+    same_user = F.col("USER_ID").eqNullSafe(F.col("__user"))
+    order = ("INTERACTION_ID", "DATE_TIME")
     if ignore_nulls:
-        return df.groupBy("USER_ID").agg(
-            *[
-                F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*position, c))).alias(c)
-                for c in columns
-            ]
+        # Users without any value keep a row; only rows that carry one are compared.
+        rows = events.join(least, same_user & reduce(lambda x, y: x | y, carries.values()))
+        found = rows.groupBy("USER_ID").agg(
+            *[F.min_by(c, F.when(carries[c], F.struct(*order, c))).alias(c) for c in columns]
         )
-    first = df.groupBy("USER_ID").agg(
-        F.min(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(position)], *columns)).alias("first")
-    )
+        filled = least.select("__user").join(found, same_user, "left")
+        return filled.select(F.col("__user").alias("USER_ID"), *columns)
+    rows = events.join(least, same_user & carries["all"])
+    first = rows.groupBy("USER_ID").agg(F.min(F.struct(*order, *columns)).alias("first"))
     return first.select("USER_ID", *[F.col(f"first.{c}").alias(c) for c in columns])
 
 

@@ -170,3 +170,31 @@ def test_drop_and_rename_pass_over_unknown_columns(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert clean.drop_columns(df, "b", "zz").columns == ["a"]
     assert clean.rename_columns(df, {"a": "x", "zz": "y"}).columns == ["x", "b"]
+
+
+@pytest.mark.parametrize("ignore_nulls", [False, True])
+def test_the_whole_log_meets_no_sort_aggregate(spark, sf_dir, ignore_nulls):
+    """Texts are compared only behind the join with the least event numbers."""
+    log = A.raw_log(spark, sf_dir)
+    first = clean.first_event_attributes(log, ignore_nulls=ignore_nulls)
+    lines = first._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    sorts = [i for i, x in enumerate(lines) if "SortAggregate" in x or "min(struct" in x]
+    assert sorts
+    for i in sorts:
+        end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        assert any("Join" in x for x in lines[i + 1 : end])
+    assert any("HashAggregate" in x and "partial_min" in x for x in lines)
+
+
+def test_first_events_with_equal_numbers_and_none(spark):
+    """Equal and missing numbers, a user in several conversations, a null user."""
+    rows = [
+        ("u", "2", "c2", "t", "b"), ("u", "2", "c1", "t", "a"), ("u", "10", "c0", "t", "z"),
+        ("v", "x", "c3", "t", None), ("v", None, "c4", "t", "q"), ("v", "1", "c1", "t", "r"),
+        ("w", "1", "c1", "t", None), (None, "1", "c1", "t", "n"),
+    ]
+    log = spark.createDataFrame(rows, "USER_ID string, EVENT_ID string, INTERACTION_ID string, DATE_TIME string, USERNICK string")
+    got = lambda skip: {r.USER_ID: r.USERNICK for r in clean.first_event_attributes(log, ("USERNICK",), skip).collect()}
+    assert got(False) == {"u": "a", "v": None, "w": None, None: "n"}
+    assert got(True) == {"u": "a", "v": "q", "w": None, None: "n"}
