@@ -1,9 +1,9 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-Features of a text are its words, their shapes (runs of letters in either case, digits, white marks kept) and pairs of
-neighbouring shapes, each hashed to one of ``2 ** BITS`` coordinates with its share of the text as value; a word that equals the
-one before it has a shape of its own, and the ends of the text count as words, so an empty text has a feature too. A score
-is one sparse dot product.
+Features of a text are its words, its pairs and triples of words in a row, and besides the shapes of its words (runs of letters in
+either case and of digits squeezed, other marks kept) and pairs of neighbouring shapes, each hashed to one of ``2 ** BITS``
+coordinates with its share of the text as value; a word that equals the one before it has a shape of its own, and the ends
+of the text count as shapes, so an empty text has a feature too. A score is one sparse dot product.
 
 Training takes a bounded sample of the labelled rows (about ``max_train`` texts, chosen by a hash of their ids), deals it over a
 fixed number of shards, runs the updates in each, averages the weights and goes on from there for ``rounds`` rounds. What
@@ -23,10 +23,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.blocks import Block, Words, blocks, hash_spans, mix
+from chatlens.llm.blocks import Block, Words, blocks, hash_spans, mix, whole_grams
 from chatlens.llm.shared import stage, texts_of
 
-BITS = 18
+BITS = 20
+#: Words in a row that are features, besides single ones.
+GRAMS = (2, 3)
+#: What such a run counts, of a single word.
+GRAM_SHARE = 0.25
 SIZE = 1 << BITS
 
 
@@ -85,15 +89,20 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of_line = np.repeat(np.arange(n), words.per_text + 2)
     inside = of_line[:-1] == of_line[1:]
     pair = mix(line[:-1] * np.uint64(3) + mix(line[1:]))[inside]
-    text = np.concatenate((words.text, words.text, of_line[:-1][inside]))
-    key = np.concatenate((words.hash, mix(shape + np.uint64(1)), pair)) >> np.uint64(64 - BITS)
-    both = np.sort((text.astype(np.uint64) << np.uint64(BITS)) | key)
-    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else []
-    count = np.diff(np.append(first, len(both))).astype(np.float64)
+    runs = [whole_grams(words, size, size) for size in GRAMS]
+    text = np.concatenate((words.text, words.text, of_line[:-1][inside], *[words.text[at] for _, at in runs]))
+    key = np.concatenate((words.hash, mix(shape + np.uint64(1)), pair, *[h for h, _ in runs])) >> np.uint64(64 - BITS)
+    both = (text.astype(np.uint64) << np.uint64(BITS + 1)) | key << np.uint64(1)
+    both[2 * len(words.hash) + len(pair) :] |= np.uint64(1)  # runs of words
+    both.sort()
+    share = np.where(both & np.uint64(1), GRAM_SHARE, 1.0)
+    both >>= np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    share = np.add.reduceat(share, first)
     both = both[first]
     text = (both >> np.uint64(BITS)).astype(np.int64)
-    # Root of the share: the squares of a text's values sum to 1.
-    value = np.sqrt(count / (3 * words.per_text[text] + 1))
+    # Root of the share: the squares of a text's values, but for the runs of words, sum to 1.
+    value = np.sqrt(share / (3 * words.per_text[text] + 1))
     return text, (both & np.uint64(SIZE - 1)).astype(np.int64), value
 
 

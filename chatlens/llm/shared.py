@@ -1,20 +1,10 @@
 """Tables that several jobs of one operator read: written once to the shared folder, so a lost executor costs nothing."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests, one machine)."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chatlens-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+from chatlens.sources.scratch import scratch_path
 
 
 #: Rows of a narrow table that one task writes.
@@ -28,7 +18,7 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

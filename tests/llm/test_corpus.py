@@ -14,6 +14,7 @@ from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from chatlens.llm import blocks as blocks_module
 from chatlens.llm import (
     decontamination,
     jaccard_join,
@@ -488,6 +489,95 @@ def test_packing_of_long_white_space(make):
 # --- classifier ---------------------------------------------------------------------------------------------------------
 
 
+def plain_features(text):
+    """Coordinate and value of the features of a text, word by word."""
+    top = lambda h: int(h) >> (64 - quality_classifier.BITS)
+
+    def hashed(data):
+        data = np.frombuffer(data, np.uint8)
+        return blocks_module.hash_spans(data, np.array([0]), np.array([len(data)]))[0]
+
+    words = [w.encode() for w in words_of(text)]
+    shapes, found = [np.uint64(0x2545F491)], Counter()
+    for k, w in enumerate(words):
+        found[top(hashed(w))] += 1
+        if k and w == words[k - 1]:
+            shape = np.uint64(0x5BD1E995)
+        else:
+            plain = bytes(97 if c >= 128 or 97 <= c < 123 else 65 if 65 <= c < 91 else 48 if 48 <= c < 58 else c for c in w)
+            shape = hashed(re.sub(rb"([aA0])\1+", rb"\1", plain))
+        shapes.append(shape)
+        found[top(blocks_module.mix(np.array([shape]) + np.uint64(1))[0])] += 1
+    shapes.append(np.uint64(0x2545F491))
+    for a, b in zip(shapes, shapes[1:]):
+        found[top(blocks_module.mix(np.array([a]) * np.uint64(3) + blocks_module.mix(np.array([b])))[0])] += 1
+    for n in quality_classifier.GRAMS:
+        for k in range(len(words) - n + 1):
+            (block,) = blocks(pa.array([b" ".join(words[k : k + n]).decode()]))
+            found[top(whole_grams(Words(block), n, n)[0][0])] += quality_classifier.GRAM_SHARE
+    return {k: (c / (3 * len(words) + 1)) ** 0.5 for k, c in found.items()}
+
+
+def plain_training(rows, training):
+    """Weights by follow-the-regularised-leader updates, one number at a time; rows are (id, text, label, shard)."""
+    t, weights = training, defaultdict(float)
+    counts = Counter(label for _, _, label, _ in rows)
+    balance = {k: (len(rows) / (2 * n)) ** 0.5 for k, n in counts.items()}
+    for _ in range(t.rounds):
+        mean = defaultdict(float)
+        for shard in sorted({r[3] for r in rows}):
+            own = sorted([r for r in rows if r[3] == shard], key=lambda r: (r[0], r[2]))
+            n = defaultdict(lambda: 1e-3)
+            rate = lambda k: (t.beta + n[k] ** 0.5) / t.alpha + t.l2  # noqa: E731, B023
+            z = {k: -w * rate(k) - np.sign(w) * t.l1 for k, w in weights.items()}
+
+            def weight(k):
+                v = z.get(k, 0.0)  # noqa: B023
+                return 0.0 if abs(v) <= t.l1 else -(v - np.sign(v) * t.l1) / rate(k)  # noqa: B023
+
+            for i in np.random.default_rng(1).permutation(len(own)):
+                _, text, label, _ = own[i]
+                x = {k: float(np.float32(v)) for k, v in plain_features(text).items()}
+                w = {k: weight(k) for k in x}
+                p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+                for k, v in x.items():
+                    g = (p - label) * v * balance[label]
+                    step = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / t.alpha
+                    z[k] = z.get(k, 0.0) + g - step * w[k]
+                    n[k] += g * g
+            for k in z:
+                mean[k] += weight(k) / t.shards
+        weights = defaultdict(float, {k: v for k, v in mean.items() if v})
+    return weights
+
+
+def test_classifier_by_brute_force(spark):
+    """Features, updates and scores, coordinate by coordinate."""
+    rnd = random.Random(12)
+    good, bad = "the cat sat on a mat near it".split(), "BUY now!!! 100 % free $$$ click here".split()
+    texts = [" ".join(rnd.choice(good if k % 3 else bad) for _ in range(rnd.randrange(12))) for k in range(60)]
+    texts += ["Été ÉTÉ x9x9 a a a", "", "ab\u00e9AB 12ab"]
+    docs = spark.createDataFrame([(i, t, int(i % 3 > 0)) for i, t in enumerate(texts)], "doc_id long, text string, label int")
+    training = quality_classifier.Training(shards=3, rounds=2)
+    weights = quality_classifier.train(docs, training)
+    shard = {r.doc_id: r.s for r in docs.selectExpr("doc_id", "pmod(hash(doc_id, 7), 3) AS s").collect()}
+    want = plain_training([(i, t, int(i % 3 > 0), shard[i]) for i, t in enumerate(texts)], training)
+    got = {int(k): weights[k] for k in np.flatnonzero(weights)}
+    assert set(got) == {k for k, v in want.items() if v} and len(got) > 100
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    for r in quality_classifier.score(docs, weights).collect():
+        dot = sum(want[k] * v for k, v in plain_features(texts[r.doc_id]).items())
+        assert abs(r.score - 1 / (1 + np.exp(-dot))) < 1e-6
+
+
+def test_order_of_words_counts():
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    mixed = random.Random(1).sample(words, 200)
+    (block,) = blocks(pa.array([" ".join(words), " ".join(mixed)]))
+    text, at, _ = quality_classifier.features(block)
+    assert len(set(at[text == 0]) ^ set(at[text == 1])) > 300
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
