@@ -7,9 +7,11 @@ corpus. In a cluster a signature tree holds, at each node, the or of the token b
 largest number of tokens that share a bit with another of their set; a traversal of node pairs drops those whose largest
 possible overlap is too small, and pairs that are already connected. What is left is compared token by token.
 
-Clusters of more than ``BLOCK`` sets are cut into blocks, each with a tree: first every block with itself, then members of
-each component found so far with each other, then, only in clusters that still are more than one component, every two
-blocks. So a large group of near copies costs about its size; no pair of copies is written out.
+Clusters of more than ``BLOCK`` sets or ``BLOCK_BYTES`` of text are cut into blocks, each with a tree: first every block with
+itself, then members of each component found so far with each other, dealt anew as long as that joins components, then,
+only in clusters that still are more than one component, every two blocks. So a large group of near copies costs about its
+size; no pair of copies is written out. A task holds a block, or two: a text counts at least ``BLOCK_BYTES / BLOCK``, so a
+block has about as many sets and bytes as these name, and a text beyond them mostly has a block for itself.
 
 For sets that differ in at most ``PAIRED`` tokens at the threshold a common bucket is certain (parts left empty are made up for
 by the tokens of a prefix). For larger sets parts are fewer than the differences, and a pair exactly at the threshold
@@ -33,8 +35,10 @@ from chatlens.llm.blocks import Block, Words, blocks, grams, mix, signed, whole_
 from chatlens.llm.links import components
 from chatlens.llm.shared import stage, texts_of
 
-#: Sets of one tree.
-BLOCK = 1024
+#: Sets of one tree, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 1024, 1 << 24
+#: Share of the members compared across blocks that a further round has to leave out.
+GAIN = 0.2
 #: Of ``BLOCK`` members about so many are compared across blocks, and the least of each component.
 CONNECTORS = 4
 #: Differences up to which buckets are pairs of parts.
@@ -280,10 +284,11 @@ def _surveyed(n: int):
                             batch.column(c).slice(block.first, block.count)
                             for c in ("doc_id", "text_key")
                         ],
+                        pa.array(np.diff(block.offsets)),
                         pa.array(sizes),
                         empty,
                     ],
-                    names=["doc_id", "text_key", "n_shingles", "node"],
+                    names=["doc_id", "text_key", "n_bytes", "n_shingles", "node"],
                 )
 
     return run
@@ -343,7 +348,7 @@ def find_links(
     texts = texts_of(docs, id_column, text_column).withColumn("text_key", F.xxhash64("text"))
     rows = stage(
         texts.mapInArrow(
-            _surveyed(n), "doc_id long, text_key long, n_shingles long, node long"
+            _surveyed(n), "doc_id long, text_key long, n_bytes long, n_shingles long, node long"
         ),
         "jaccard-rows",
     )
@@ -363,27 +368,29 @@ def find_links(
         "jaccard-clusters",
         n_rows,
     )
-    sizes = stage(
-        clusters.groupBy("cluster").agg(F.count("*").alias("size")), "jaccard-sizes", n_rows
-    )
-    one_of = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
-    placed = (
-        clusters.join(sizes, "cluster")
-        .join(one_of, "node")
-        .select(
+    one_of = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "n_bytes")).alias("one"))
+    load = F.greatest("one.n_bytes", F.lit(-(-BLOCK_BYTES // BLOCK)))
+    members = stage(
+        clusters.join(one_of, "node").select(
             F.coalesce("one.doc_id", F.lit(0)).alias("id"),
             F.col("one.text_key").alias("text_key"),
             "node",
             "cluster",
-            F.ceil(F.col("size") / BLOCK).alias("n_blocks"),
-        )
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n_blocks")))
+            load.alias("load"),
+        ),
+        "jaccard-members",
+        n_rows,
     )
+    sizes = stage(members.groupBy("cluster").agg(F.sum("load").alias("size")), "jaccard-sizes", n_rows)
+    placed = members.join(sizes, "cluster").select(
+        "id", "text_key", "node", "cluster", "load", F.ceil(F.col("size") / BLOCK_BYTES).alias("n_blocks")
+    )
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n_blocks")))
     placed = stage(placed, "jaccard-placed", n_rows)
     sets = stage(
         texts.withColumn("id", F.coalesce("doc_id", F.lit(0)))
         .join(placed.hint("shuffle_hash"), ["id", "text_key"])
-        .select("node", "cluster", "n_blocks", "block", "text"),
+        .select("node", "cluster", "load", "n_blocks", "block", "text"),
         "jaccard-sets",
     )
     join = _joined(n, limit.p, limit.q)
@@ -398,33 +405,45 @@ def find_links(
         roots = components(links, "jaccard-labels")
         return several.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
 
-    # Some members of each component of a block, of all blocks of the cluster together.
     now = stage(labelled(), "jaccard-labelled")
-    chosen = (
-        now.groupBy("cluster", "block", "label")
-        .agg(
-            F.collect_set(
-                F.when(F.pmod("node", F.lit(BLOCK)) < CONNECTORS, F.col("node"))
-            ).alias("some"),
-            F.min("node").alias("least"),
+    compared, turn = None, 0
+    while True:
+        # Some members of each component of a block, of all blocks of the cluster together.
+        chosen = stage(
+            now.groupBy("cluster", "block", "label")
+            .agg(
+                F.collect_set(F.when(F.pmod("node", F.lit(BLOCK)) < CONNECTORS, F.struct("node", "load"))).alias("some"),
+                F.min(F.struct("node", "load")).alias("least"),
+            )
+            .select("cluster", F.explode(F.array_union("some", F.array("least"))).alias("member"))
+            .select("cluster", "member.*")
+            .distinct(),
+            "jaccard-chosen",
+            n_rows,
         )
-        .select("cluster", F.explode(F.array_union("some", F.array("least"))).alias("node"))
-        .distinct()
-    )
-    counted = chosen.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("n_groups"))
-    across = (
-        now.join(chosen, ["cluster", "node"])
-        .join(counted, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n_groups")))
-        .select("cluster", "block", "node", "text", "label", no_half)
-    )
-    links = stage(
-        links.unionByName(across.groupBy("cluster", "block").applyInArrow(join, "a long, b long")),
-        "jaccard-across",
-    )
+        n_chosen = chosen.count()
+        if compared is not None and n_chosen > (1 - GAIN) * compared:
+            break
+        compared, turn = n_chosen, turn + 1
+        counted = stage(
+            chosen.groupBy("cluster").agg(F.ceil(F.sum("load") / BLOCK_BYTES).alias("n_groups")), "jaccard-groups", n_rows
+        )
+        dealt = stage(
+            chosen.join(counted, "cluster").select(
+                "node", F.pmod(F.xxhash64("node", F.lit(4 + turn)), F.col("n_groups")).alias("group")
+            ),
+            "jaccard-dealt",
+            n_rows,
+        )
+        across = now.join(dealt, "node").select("cluster", F.col("group").alias("block"), "node", "text", "label", no_half)
+        links = stage(
+            links.unionByName(across.groupBy("cluster", "block").applyInArrow(join, "a long, b long")),
+            "jaccard-across",
+        )
+        now = stage(labelled(), "jaccard-labelled")
     # Clusters that are not one component yet: every two blocks, unless they are one component themselves.
-    now = stage(labelled(), "jaccard-labelled")
     open_ = now.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    open_ = stage(open_, "jaccard-open", n_rows)
     spread = now.join(open_.select("cluster"), "cluster").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("other")
     )

@@ -188,9 +188,33 @@ def test_join_of_clusters_in_blocks(make, monkeypatch):
     rows = texts + chain
     want = components_by_brute_force(list(enumerate(rows)), 3, 90, 100)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 8 << 10)
     assert _components(jaccard_join.join_components(make(rows), 3, 90, 100)) == want
 
 
+def test_join_of_long_texts_in_blocks_by_bytes(make, monkeypatch):
+    """50 near copies of 200 kB under a bound of 1 MB: no task gets much more."""
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(28_000)]
+    texts = []
+    for i in range(50):
+        one = list(base)
+        for _ in range(100):
+            one[rnd.randrange(len(one))] = f"x{i}"
+        texts.append(" ".join(one))
+    join = jaccard_join._joined
+
+    def watched(n, p, q):
+        run = join(n, p, q)
+        return lambda table: run(table) if table["text"].nbytes < 4 << 20 else 1 / 0
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr(jaccard_join, "_joined", watched)
+    assert min(map(len, texts)) > 190_000
+    rows = jaccard_join.join_components(make([*texts, "a b c d"])).collect()
+    assert {r.component_id for r in rows if r.doc_id < 50} == {0} and sum(r.component_id == 50 for r in rows) == 1
+
+
 def test_join_on_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     want = components_by_brute_force(rows, 3, 90, 100)
