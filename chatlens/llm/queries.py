@@ -59,9 +59,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([(v,) for v in values], "key string")
 
     rules = {verdict: keys(values) for verdict, values in url_filter.RULES.items()}
-    return url_filter.filter_urls(
-        _table(spark, sf_dir, "pages"), rules, keys(url_filter.LISTED)
-    ).drop("listed")
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, rules, url_filter.family_keys(pages)).drop("listed")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

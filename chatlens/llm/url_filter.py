@@ -6,10 +6,11 @@ any URL of the table gives, so membership is exact for all of them, and URLs are
 
 A key is a host or a domain above it, followed by a path prefix that ends in "/". Prefixes deeper than any listed key
 cannot match and are not formed. Filter bits are or-ed by partial aggregates; what reaches the driver and is broadcast is
-the filters, whose size follows the lists alone and is checked against ``max_bits``.
+the filters, whose size follows the lists. A list that needs more than ``MAX_BITS`` is dealt by hash to several cascades,
+each exact for its share of the universe; what fits into ``MAX_BITS`` is applied at a time, in passes over a written table.
 
-Defined cases: a null URL or one without "://" has empty host and path and no rule; an empty table gives an empty result; an
-empty list has no members; repeated rows are judged each; other columns are ignored.
+Defined cases: a null URL or one without "://" has empty host and path and no rule; a URL of any length is read whole; an empty
+table gives an empty result; an empty list has no members; repeated rows are judged each; other columns are ignored.
 """
 
 import math
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +30,9 @@ RULES = {
     "block": ("net/", "example.com/de/"),
     "allow": ("example.net/en/", "org/fr/"),
 }
-#: Keys that the registered query blocks where no rule fits.
-LISTED = (
-    "ads-track.example.com/",
-    "adult-x.example.com/",
-    "casino-win.example.net/",
-    "cheap-pills.example.net/",
-    "free-bets.example.net/",
-    "spam-farm.example.org/",
-)
-#: 128 MB of filter bits in all; longer lists are applied part by part.
+#: First labels of the sites that the registered query blocks where no rule fits, under any domain.
+FAMILIES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: 128 MB of filter bits held at a time.
 MAX_BITS = 1 << 30
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,16 +87,19 @@ def _filtered(keys: DataFrame, level: Level) -> DataFrame:
     return keys.mapInArrow(run, keys.schema)
 
 
+def _bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
+
+
+def _rate(n: int, n_others: int) -> float:
+    """How often the first filter of ``n`` keys may be mistaken: about as many others are left as there are keys."""
+    return min(0.5, max(1e-6, n / n_others / math.sqrt(2))) if n_others else 0.5
+
+
 def _encoded(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A filter of ``n`` keys that lets through other keys at about ``rate``."""
     hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-    if bits > MAX_BITS:
-        raise ValueError(
-            f"{n} keys need a filter of {bits} bits; apply the list in parts of at most "
-            f"{int(n * MAX_BITS / bits)} keys and combine the verdicts"
-        )
-
+    bits = _bits(n, rate)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
@@ -132,22 +130,64 @@ def _hashed(keys: DataFrame) -> DataFrame:
 def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Levels that tell the keys of ``listed`` from the other keys of ``universe`` (each one column ``key``)."""
     members = stage(_hashed(listed), "cascade-listed")
-    others = stage(
-        _hashed(universe).join(members, ["h1", "h2"], "left_anti"), "cascade-universe"
-    )
+    others = stage(_hashed(universe).join(members, ["h1", "h2"], "left_anti"), "cascade-universe")
+    return _levels(members, others)
+
+
+def _levels(members: DataFrame, others: DataFrame) -> list[Level]:
     levels: list[Level] = []
     here, there = members, others
     n, n_there = here.count(), there.count()
     while n:
-        rate = 0.5
-        if not levels and n_there:
-            rate = min(0.5, max(1e-6, n / n_there / math.sqrt(2)))
+        rate = 0.5 if levels else _rate(n, n_there)
         levels.append(_encoded(here, n, rate, len(levels)))
         here, there = stage(_filtered(there, levels[-1]), "cascade-mistakes"), here
         n = here.count()
     return levels
 
 
+@dataclass
+class Cascade:
+    """The levels for the keys whose hash falls into ``part`` of ``parts``, of the list ``name``."""
+
+    name: str
+    part: int
+    parts: int
+    levels: list[Level]
+
+    def members(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Which keys this cascade knows to be listed."""
+        if not self.levels:
+            return np.zeros(0, np.int64)
+        own = np.flatnonzero(h1.view(np.uint64) % np.uint64(self.parts) == self.part)
+        return own[in_cascade(self.levels, h1[own], h2[own])]
+
+    @property
+    def bits(self) -> int:
+        return sum(level.bits for level in self.levels)
+
+
+def cascades(listed: dict[str, DataFrame], universe: DataFrame) -> Iterator[list[Cascade]]:
+    """Cascades of all lists, so many at a time as ``MAX_BITS`` holds (one at least)."""
+    hashed = _hashed(universe)
+    held: list[Cascade] = []
+    for name, keys in listed.items():
+        members = stage(_hashed(keys), "cascade-listed")
+        others = stage(hashed.join(members, ["h1", "h2"], "left_anti"), "cascade-universe")
+        n, n_others = members.count(), others.count()
+        parts = -(-_bits(n, _rate(n, n_others)) // MAX_BITS) if n else 1
+        # Of a negative hash the remainder as of the unsigned number.
+        part_of = F.expr(f"pmod(pmod(h1, {parts}L) + if(h1 < 0, {(1 << 64) % parts}L, 0L), {parts}L)")
+        for part in range(parts):
+            own = [t if parts == 1 else t.where(part_of == part) for t in (members, others)]
+            cascade = Cascade(name, part, parts, _levels(*own))
+            if held and sum(c.bits for c in held) + cascade.bits > MAX_BITS:
+                yield held
+                held = []
+            held.append(cascade)
+    yield held
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     found = F.coalesce(url.cast("string"), F.lit(""))
     pattern = r"://([^/?#]*)([^?#]*)"
@@ -210,46 +250,68 @@ def filter_urls(
         F.col(f"`{id_column}`").cast("long").alias("page_id"), host.alias("host"), path.alias("path")
     ).withColumn("keys", url_keys(F.col("host"), F.col("path"), labels, depth))
     universe = stage(seen.select(F.explode("keys").alias("key")).distinct(), "url-keys")
-    cascades = {
-        name: build_cascade(table.select(F.col("key").cast("string")).dropna(), universe)
-        for name, table in tables.items()
-    }
-    shared = pages.sparkSession.sparkContext.broadcast(cascades)
+    listed_keys = {name: table.select(F.col("key").cast("string")).dropna() for name, table in tables.items()}
+    judged = seen.select(
+        "*",
+        F.transform("keys", lambda k: F.xxhash64(k)).alias("h1"),
+        F.transform("keys", lambda k: F.xxhash64(k, F.lit(1))).alias("h2"),
+        F.lit(None).cast("int").alias("rule_at"),
+        F.lit(None).cast("string").alias("ruled"),
+        F.lit(None).cast("int").alias("listed_at"),
+    )
+    for k, part in enumerate(cascades(listed_keys, universe)):
+        if k:
+            judged = stage(judged, "url-judged")
+        shared = pages.sparkSession.sparkContext.broadcast(part)
+        judged = judged.mapInArrow(_judge(shared, list(rules)), judged.schema)
+    return judged.select(
+        "page_id",
+        "host",
+        "path",
+        F.get("keys", F.col("rule_at")).alias("rule"),
+        F.get("keys", F.col("listed_at")).alias("listed"),
+        F.coalesce("ruled", F.when(F.col("listed_at").isNotNull(), "block").otherwise("allow")).alias("verdict"),
+    )
+
+
+def _judge(shared: Broadcast, order: list[str]):
+    """Adds what some cascades know: the longest listed key (the least place) of each page, and of the rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, h1, h2 = (batch.column(c) for c in ("keys", "h1", "h2"))
-            counts = np.diff(keys.offsets.to_numpy())
-            of_page = np.repeat(np.arange(len(batch)), counts)
+            first = keys.offsets.to_numpy()
+            of_page = np.repeat(np.arange(len(batch)), np.diff(first))
             flat1, flat2 = h1.flatten().to_numpy(), h2.flatten().to_numpy()
-            texts = keys.flatten()
-            rule = np.full(len(batch), None, object)
-            verdict, block = rule.copy(), rule.copy()
-            best = np.full(len(batch), len(texts), np.int64)
-            for name, levels in shared.value.items():
-                member = np.flatnonzero(in_cascade(levels, flat1, flat2))
+            rule_at, listed_at, ruled = (batch.column(c).to_pylist() for c in ("rule_at", "listed_at", "ruled"))
+            for cascade in shared.value:
+                member = cascade.members(flat1, flat2)
                 page, at = np.unique(of_page[member], return_index=True)
-                for i, k in zip(page.tolist(), member[at].tolist(), strict=True):
-                    if not name:
-                        block[i] = texts[k].as_py()
-                    elif k < best[i]:
-                        best[i], rule[i], verdict[i] = k, texts[k].as_py(), name
-            for i in np.flatnonzero(best == len(texts)):
-                verdict[i] = "block" if block[i] is not None else "allow"
+                places = member[at] - (first[page] - first[0])
+                for i, k in zip(page.tolist(), places.tolist(), strict=True):
+                    if not cascade.name:
+                        listed_at[i] = k if listed_at[i] is None else min(k, listed_at[i])
+                    elif rule_at[i] is None or (k, order.index(cascade.name)) < (rule_at[i], order.index(ruled[i])):
+                        rule_at[i], ruled[i] = k, cascade.name
+            now = {
+                "rule_at": pa.array(rule_at, pa.int32()),
+                "ruled": pa.array(ruled, pa.string()),
+                "listed_at": pa.array(listed_at, pa.int32()),
+            }
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in ("page_id", "host", "path")],
-                    *[pa.array(x, pa.string()) for x in (rule, block, verdict)],
-                ],
-                names=["page_id", "host", "path", "rule", "listed", "verdict"],
+                [now.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names
             )
 
-    hashed = seen.withColumn("h1", F.transform("keys", lambda k: F.xxhash64(k))).withColumn(
-        "h2", F.transform("keys", lambda k: F.xxhash64(k, F.lit(1)))
-    )
-    return hashed.mapInArrow(
-        run, "page_id long, host string, path string, rule string, listed string, verdict string"
-    )
+    return run
+
+
+def family_keys(
+    pages: DataFrame, families: tuple[str, ...] = FAMILIES, url_column: str = "url"
+) -> DataFrame:
+    """The keys of all sites of given families among the pages: hosts from the label that names a family on."""
+    host, _ = host_and_path(F.col(f"`{url_column}`"))
+    site = F.regexp_extract(host, rf"(?:^|\.)((?:{'|'.join(families)})(?:\..*)?$)", 1)
+    return pages.select(F.concat(site, F.lit("/")).alias("key")).where("key <> '/'").distinct()
 
 
 SQL = f"""
@@ -260,7 +322,11 @@ WITH parts AS (
   FROM pages),
 rules(key, verdict) AS (
   VALUES {", ".join(f"('{k}', '{v}')" for v, ks in RULES.items() for k in ks)}),
-listed(key) AS (VALUES {", ".join(f"('{k}')" for k in LISTED)}),
+listed(key) AS (
+  SELECT DISTINCT site || '/' FROM (
+    SELECT array_to_string(list_slice(labels, list_min([list_position(labels, f) for f in {list(FAMILIES)}]), len(labels)), '.') AS site
+    FROM (SELECT string_split(host, '.') AS labels FROM parts)
+    WHERE list_has_any(labels, {list(FAMILIES)}))),
 keyed AS (
   SELECT key, verdict, string_split(key, '/')[1] AS h, substr(key, strpos(key, '/')) AS p
   FROM (SELECT key, verdict FROM rules UNION ALL SELECT key, NULL FROM listed)),

@@ -645,6 +645,42 @@ def test_cascade_is_exact(spark):
     assert url_filter.build_cascade(listed.limit(0), keys) == []
 
 
+def test_lists_beyond_the_bits_are_split(spark, monkeypatch):
+    """The same verdicts from many cascades; with repeated rows and a very long URL."""
+    pages = spark.range(900).selectExpr(
+        "id AS page_id", "concat('http://w.h', id % 700, '.org/a', id % 3, '/', repeat('x/', if(id = 7, 100000, 1))) AS url"
+    )
+    pages = pages.unionAll(pages.where("page_id < 20"))
+    listed = spark.range(700).where("id % 3 = 0").selectExpr("concat('h', id, '.org/') AS key")
+    rules = {
+        "allow": spark.range(700).where("id % 5 = 0").selectExpr("concat('h', id, '.org/a1/') AS key"),
+        "block": spark.range(700).where("id % 7 = 0").selectExpr("concat('w.h', id, '.org/') AS key"),
+    }
+    monkeypatch.setattr(url_filter, "MAX_BITS", 600)
+    passes = []
+    judge = url_filter._judge
+    monkeypatch.setattr(url_filter, "_judge", lambda shared, order: passes.append(shared.value) or judge(shared, order))
+    rows = url_filter.filter_urls(pages, rules, listed).collect()
+    assert len(passes) > 1 and any(c.parts > 1 for x in passes for c in x)
+    assert all(len(x) == 1 or sum(c.bits for c in x) <= 600 for x in passes)
+    assert len(rows) == 920
+    for r in rows:
+        h, a = r.page_id % 700, r.page_id % 3
+        allow, block = h % 5 == 0 and a == 1, h % 7 == 0
+        rule = f"h{h}.org/a1/" if allow else f"w.h{h}.org/" if block else None
+        if allow and block:  # the longer key; of equal length the first in order of their letters
+            rule = min(f"h{h}.org/a1/", f"w.h{h}.org/", key=lambda k: (-len(k), k))
+        assert r.rule == rule and r.listed == (f"h{h}.org/" if h % 3 == 0 else None)
+        want = ("allow" if rule.startswith("h") else "block") if rule else "block" if h % 3 == 0 else "allow"
+        assert r.verdict == want
+
+
+def test_family_keys(spark):
+    urls = ["http://casino-win.com/x", "https://WWW.ads-track.co.uk", "http://a.adult-x", "http://mycasino-win.com/", "x", None, "http://b.org/casino-win.com/"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.key for r in url_filter.family_keys(pages).collect()} == {"casino-win.com/", "ads-track.co.uk/", "adult-x/"}
+
+
 def test_urls(spark, none):
     def keys(*values):
         return spark.createDataFrame([(v,) for v in values], "key string")
