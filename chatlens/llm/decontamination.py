@@ -3,37 +3,39 @@
 Texts and items are sequences of words (lower-cased, marks dropped), the distance counts words inserted, deleted or replaced,
 and a passage leaks an item of n words if some window of the text is within ``floor(n * (1 - similarity))`` edits of it.
 
-Windows of an item's size are embedded by a random walk that turns edits into mismatches at fixed places: the walk reads a word,
-writes it down, and moves on by 0 or 1 words as a hash of word and place says. Equal samples of places, taken several times
-from several walks, make window and item candidates; around candidates the exact edit distance is worked out over all
-windows. Equal texts meet in every sample; what is at the threshold meets in at least one with a probability of 0.99 for
-items of at most ``WALKED`` words (measured by the tests). Mismatches of a walk grow faster than the edits, so longer items
-are not sampled: every place that the count filter below leaves is worked out exactly, which loses nothing.
+An item of more than ``PIECE`` words is cut into k pieces of about equal size, at most ``PIECE`` words each: within d edits of
+the item, one piece at least has no more than d / k of them. Windows of a piece's size are embedded by a random walk that
+turns edits into mismatches at fixed places: the walk reads a word, writes it down, and moves on by 0 or 1 words as a
+hash of word and place says. Equal samples of places, taken several times from several walks, make window and piece
+candidates; around candidates the exact edit distance of the whole item is worked out over all windows. Equal texts meet in
+every sample; what is at the threshold meets in at least one with a probability of 0.99 and more for pieces of up to
+``PIECE`` words (measured by the tests, for items of all sizes). Mismatches of a walk grow faster than the edits, hence the pieces.
 
-Windows are taken where they can matter: a window within d edits of an item shares at least n - q + 1 - d * q of its word
-q-grams (q as large as leaves one), near one diagonal; a place without that is no candidate, whatever the walks say.
+Windows are taken where they can matter: a window within d edits of a piece of n words shares at least n - q + 1 - d * q of its
+word q-grams (q as large as leaves one), near one diagonal; a place without that is no candidate, whatever the walks say.
 
-Rows are independent: no shuffle, no group. Items are applied in blocks of at most ``ITEM_WORDS`` words, so what a task holds of
-them is bounded.
+Rows are independent: no shuffle, no group. Items are applied in blocks of at most ``ITEM_WORDS`` words, one after the other, so
+driver and tasks hold one block at a time; the corpus is read once per block (once for all but huge benchmarks).
 
 Defined cases: null texts and items are empty; an empty item leaks nowhere; repeated items are reported each under their id,
 repeated rows too; an empty table of either kind gives an empty result; other columns are ignored.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from chatlens.llm.blocks import WORDLIKE, Words, blocks, grams, mix
-from chatlens.llm.shared import texts_of
+from chatlens.llm.shared import stage, texts_of
 
 SIMILARITY = 0.8
 WALKS, SAMPLES, PLACES = 6, 16, 3
-#: Words of the longest item that is sampled; beyond, samples miss more than 0.01 of what is at the threshold.
-WALKED = 30
+#: Words of a piece; beyond, samples miss more than 0.01 of what is at the threshold.
+PIECE = 30
 #: Words of items that are applied at a time.
 ITEM_WORDS = 200_000
 #: Embedded words held at a time.
@@ -101,31 +103,40 @@ def closest_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """Benchmark items prepared for matching."""
+    """Benchmark items prepared for matching: whole (``ids``, ``words``, ``most`` edits), and as pieces (``size``, ``edits``...)."""
 
     def __init__(self, ids: list, texts: list[str], similarity: float):
         column = pa.array([t or "" for t in texts], pa.string())
-        self.ids, self.words, self.most, self.gram, self.need = [], [], [], [], []
+        self.ids, self.words, self.most = [], [], []
+        self.item, self.offset, self.pieces, self.edits, self.gram, self.need = [], [], [], [], [], []
         for block in blocks(column):
             words = Words(block, WORDLIKE, lower=True)
             for i in range(block.count):
                 own = words.hash[words.first[i] : words.first[i + 1]]
-                n = len(own)
-                if not n:
-                    continue
-                d = int(n * (1 - similarity) + 1e-9)
-                q = next(q for q in (3, 2, 1) if q <= GRAM and n - q + 1 - d * q >= 1 or q == 1)
-                self.ids.append(ids[block.first + i])
-                self.words.append(own)
-                self.most.append(d)
-                self.gram.append(q)
-                self.need.append(max(1, n - q + 1 - d * q))
-        self.size = np.array([len(w) for w in self.words], np.int64)
+                if len(own):
+                    self.ids.append(ids[block.first + i])
+                    self.words.append(own)
+                    self.most.append(int(len(own) * (1 - similarity) + 1e-9))
+                    self._cut(len(self.ids) - 1)
+        self.size = np.array([len(w) for w in self.pieces], np.int64)
         self.tables = {q: self._table(q) for q in sorted(set(self.gram))}
-        walked = np.flatnonzero(self.size <= WALKED)
-        self.keys = np.zeros((len(self.words), WALKS * SAMPLES), np.uint64)
-        if len(walked):
-            self.keys[walked] = sample_keys(*self._padded([self.words[k] for k in walked]))
+        self.keys = np.zeros((0, WALKS * SAMPLES), np.uint64)
+        if self.pieces:
+            self.keys = sample_keys(*self._padded(self.pieces))
+
+    def _cut(self, item: int) -> None:
+        words = self.words[item]
+        k = -(-len(words) // PIECE)
+        bounds = [len(words) * j // k for j in range(k + 1)]
+        d = self.most[item] // k
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            q = next(q for q in (3, 2, 1) if q <= GRAM and b - a - q + 1 - d * q >= 1 or q == 1)
+            self.item.append(item)
+            self.offset.append(a)
+            self.pieces.append(words[a:b])
+            self.edits.append(d)
+            self.gram.append(q)
+            self.need.append(max(1, b - a - q + 1 - d * q))
 
     @staticmethod
     def _padded(sequences: list[np.ndarray], sizes: list[int] | None = None):
@@ -137,10 +148,10 @@ class Items:
         return rows, sizes
 
     def _table(self, q: int):
-        """Sorted grams of the items that are searched by q-grams, with item and place."""
+        """Sorted grams of the pieces that are searched by q-grams, with piece and place."""
         found = [
             (g, k, at)
-            for k, words in enumerate(self.words)
+            for k, words in enumerate(self.pieces)
             if self.gram[k] == q
             for at, g in enumerate(grams(words, q))
         ]
@@ -153,7 +164,7 @@ class Items:
         return g, rest[:, 0], rest[:, 1], screen
 
     def places(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
-        """(item, text, first start, last start) where enough grams of an item lie near one diagonal."""
+        """(piece, text, first start, last start) where enough grams of a piece lie near one diagonal."""
         for q, (table, item_of, place_of, screen) in self.tables.items():
             h = grams(words.hash, q)
             if not len(h):
@@ -168,9 +179,9 @@ class Items:
             item, diagonal, text = item_of[row], at - place_of[row], words.text[at]
             order = np.lexsort((diagonal, text, item))
             item, diagonal, text = item[order], diagonal[order], text[order]
-            # Hits of one item and text whose diagonals lie within twice the distance, enough of them.
+            # Hits of one piece and text whose diagonals lie within twice the distance, enough of them.
             need = np.array(self.need)[item]
-            most = np.array(self.most)[item]
+            most = np.array(self.edits)[item]
             last = np.arange(len(item)) + need - 1
             fits = last < len(item)
             i, j = np.flatnonzero(fits), last[fits]
@@ -181,52 +192,51 @@ class Items:
             )
             i, j = i[near], j[near]
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                d = self.most[item[a]]
+                d = self.edits[item[a]]
                 yield int(item[a]), int(text[a]), int(diagonal[a]) - d, int(diagonal[b]) + d
 
     def leaks(self, words: Words) -> list[tuple]:
         """(text, item, distance, first word, number of words) of the closest window of each leaked item in each text."""
         starts: dict[tuple[int, int], set[int]] = {}
-        for item, text, low, high in self.places(words):
+        for piece, text, low, high in self.places(words):
             a, b = int(words.first[text]), int(words.first[text + 1])
-            size = int(self.size[item])
+            size = int(self.size[piece])
             low, high = max(low, a), min(high, b - size)
-            # A text shorter than the item is one window, filled up.
-            starts.setdefault((item, text), set()).update(range(low, high + 1) if high >= low else [a])
-        places = {(text, item): sorted(ats) for (item, text), ats in starts.items() if self.size[item] > WALKED}
-        sampled = {pair: ats for pair, ats in starts.items() if self.size[pair[0]] <= WALKED}
-        for text, at, item in self._meeting(words, sampled):
-            places.setdefault((text, item), []).append(at)
+            # A text shorter than the piece is one window, filled up.
+            starts.setdefault((piece, text), set()).update(range(low, high + 1) if high >= low else [a])
+        places: dict[tuple[int, int], set[int]] = {}
+        for text, at, piece in self._meeting(words, starts):
+            places.setdefault((text, self.item[piece]), set()).add(at - self.offset[piece])
         found = []
         for (text, item), ats in sorted(places.items()):
-            best = self._closest(words, item, text, ats)
+            best = self._closest(words, item, text, sorted(ats))
             if best[0] <= self.most[item]:
                 found.append((text, item, *best))
         return found
 
     def _meeting(self, words: Words, starts: dict[tuple[int, int], set[int]]) -> list[tuple[int, int, int]]:
-        """(text, start, item), in order, of the windows that meet their item in a sample."""
-        wanted = sorted((text, at, item) for (item, text), ats in starts.items() for at in ats)
+        """(text, start, piece), in order, of the windows that meet their piece in a sample."""
+        wanted = sorted((text, at, piece) for (piece, text), ats in starts.items() for at in ats)
         if not wanted:
             return []
-        # Each window once for each size; items of one size share it.
+        # Each window once for each size; pieces of one size share it.
         number: dict[tuple[int, int], int] = {}
         windows, of_window = [], []
-        for text, at, item in wanted:
-            size = int(self.size[item])
+        for text, at, piece in wanted:
+            size = int(self.size[piece])
             k = number.setdefault((at, size), len(number))
             if k == len(windows):
                 windows.append(words.hash[at : min(at + size, words.first[text + 1])])
                 of_window.append(size)
         keys = sample_keys(*self._padded(windows, of_window))
-        rows = [number[at, int(self.size[item])] for _, at, item in wanted]
-        items = [item for _, _, item in wanted]
-        candidate = (keys[rows] == self.keys[items]).any(axis=1)
+        rows = [number[at, int(self.size[piece])] for _, at, piece in wanted]
+        pieces = [piece for _, _, piece in wanted]
+        candidate = (keys[rows] == self.keys[pieces]).any(axis=1)
         return [wanted[k] for k in np.flatnonzero(candidate)]
 
     def _closest(self, words: Words, item: int, text: int, ats: list[int]) -> tuple:
         """Distance, start and size of the closest window around candidates (sorted)."""
-        d, n = self.most[item], int(self.size[item])
+        d, n = self.most[item], len(self.words[item])
         a, b = int(words.first[text]), int(words.first[text + 1])
         reach = n + 2 * d
         apart = np.flatnonzero(np.diff(ats) > 2 * reach) + 1
@@ -241,8 +251,7 @@ class Items:
 LEAKS = "doc_id long, item_id long, distance int, first_word int, n_words int"
 
 
-def _matched(texts: DataFrame, ids: list, items: list[str], similarity: float) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast((ids, items))
+def _matched(texts: DataFrame, shared: Broadcast, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepared = Items(*shared.value, similarity)
@@ -264,12 +273,13 @@ def _matched(texts: DataFrame, ids: list, items: list[str], similarity: float) -
 
 
 def _item_blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of the items, at most ``ITEM_WORDS`` words at a time; one block at least."""
+    """Ids and texts of the items, at most ``ITEM_WORDS`` words (one character and one blank at least) at a time; one block at
+    least."""
     ids, held, size, any_ = [], [], 0, False
     for row in texts_of(items, "item_id", "text").orderBy("doc_id", "text").toLocalIterator():
         ids.append(row["doc_id"])
         held.append(row["text"])
-        size += len(row["text"].split()) + 1
+        size += len(row["text"]) // 2 + 1
         if size >= ITEM_WORDS:
             yield ids, held
             ids, held, size, any_ = [], [], 0, True
@@ -289,8 +299,24 @@ def find_leaks(
     ``items`` has ``item_id`` and ``text``. Documents without a leak give no row.
     """
     texts = texts_of(docs, id_column, text_column)
-    parts = [_matched(texts, *part, similarity) for part in _item_blocks(items)]
-    return reduce(DataFrame.unionAll, parts)
+    return reduce(DataFrame.unionAll, _per_block(docs, items, lambda _, part: _matched(texts, part, similarity)))
+
+
+def _per_block(docs: DataFrame, items: DataFrame, apply: Callable[[DataFrame | None, Broadcast], DataFrame]) -> list[DataFrame]:
+    """What ``apply`` makes of each block of items and of the table before; written, if there are several blocks."""
+    context, out = docs.sparkSession.sparkContext, []
+    parts = _item_blocks(items)
+    part = next(parts)
+    while part is not None:
+        following = next(parts, None)
+        shared = context.broadcast(part)
+        table = apply(out[-1] if out else None, shared)
+        if following is not None or out:
+            table = stage(table, "leaks")
+            shared.unpersist()
+        out.append(table)
+        part = following
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -308,7 +334,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
 
         return run
 
-    for part in _item_blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        docs = docs.mapInArrow(kept(shared), docs.schema)
-    return docs
+    def apply(before: DataFrame | None, shared: Broadcast) -> DataFrame:
+        return (docs if before is None else before).mapInArrow(kept(shared), docs.schema)
+
+    return _per_block(docs, items, apply)[-1]

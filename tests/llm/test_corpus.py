@@ -326,7 +326,7 @@ def _edits(a, b):
 @pytest.mark.parametrize("kind", ["mixed", "ins", "del"])
 def test_recall_at_the_threshold_by_size(n, kind):
     rng = random.Random(f"{n} {kind}")
-    rounds, d = (300 if n <= decontamination.WALKED else 40), int(n * 0.2 + 1e-9)
+    rounds, d = (300 if n <= decontamination.PIECE else 40), int(n * 0.2 + 1e-9)
     word = lambda: f"u{rng.getrandbits(60)}"
     items = [[word() for _ in range(n)] for _ in range(rounds)]
     texts = []
@@ -347,7 +347,7 @@ def test_recall_at_the_threshold_by_size(n, kind):
             assert edits <= d
             found.add((block.first + text, item))
     hits = sum((k, k) in found for k in range(rounds))
-    assert hits == rounds if n > decontamination.WALKED else hits >= 0.99 * rounds
+    assert hits == rounds if n > decontamination.PIECE else hits >= 0.99 * rounds
 
 
 def test_closest_window_by_brute_force():
