@@ -14,30 +14,36 @@ every sample; what is at the threshold meets in at least one with a probability
 Windows are taken where they can matter: a window within d edits of a piece of n words shares at least n - q + 1 - d * q of its
 word q-grams (q as large as leaves one), near one diagonal; a place without that is no candidate, whatever the walks say.
 
-Rows are independent: no shuffle, no group. Items are applied in blocks of at most ``ITEM_WORDS`` words, one after the other, so
-driver and tasks hold one block at a time; the corpus is read once per block (once for all but huge benchmarks).
+The corpus is read once. Items of up to ``ITEM_WORDS`` words are broadcast and rows are independent then: no shuffle, no group. More
+items are joined with the documents by their grams: a bitmap of bounded size (all that is broadcast) screens the documents'
+grams; of each piece's grams only the rarest are joined, so many that a window within the distance has one of them (a
+gram in a third of the rows is joined only where a piece has no other); the pairs so found are verified as above, in
+groups of a document and about ``GROUP`` items. No item passes the driver then.
 
 Defined cases: null texts and items are empty; an empty item leaks nowhere; repeated items are reported each under their id,
 repeated rows too; an empty table of either kind gives an empty result; other columns are ignored.
 """
 
-from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from chatlens.llm.blocks import WORDLIKE, Words, blocks, grams, mix
+from chatlens.llm.blocks import WORDLIKE, Words, blocks, grams, mix, signed
 from chatlens.llm.shared import stage, texts_of
 
 SIMILARITY = 0.8
 WALKS, SAMPLES, PLACES = 6, 16, 3
 #: Words of a piece; beyond, samples miss more than 0.01 of what is at the threshold.
 PIECE = 30
-#: Words of items that are applied at a time.
+#: Words of items that are broadcast at most.
 ITEM_WORDS = 200_000
+#: Bits of the bitmap that screens grams, as a power of two (32 MB), and items verified at a time.
+MAX_BITMAP, GROUP = 28, 256
 #: Embedded words held at a time.
 CELLS = 1 << 22
 #: Longest word gram of the count filter.
@@ -272,19 +278,144 @@ def _matched(texts: DataFrame, shared: Broadcast, similarity: float) -> DataFram
     return texts.mapInArrow(run, LEAKS)
 
 
-def _item_blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of the items, at most ``ITEM_WORDS`` words (one character and one blank at least) at a time; one block at
-    least."""
-    ids, held, size, any_ = [], [], 0, False
-    for row in texts_of(items, "item_id", "text").orderBy("doc_id", "text").toLocalIterator():
-        ids.append(row["doc_id"])
-        held.append(row["text"])
-        size += len(row["text"]) // 2 + 1
-        if size >= ITEM_WORDS:
-            yield ids, held
-            ids, held, size, any_ = [], [], 0, True
-    if ids or not any_:
-        yield ids, held
+def _few(items: DataFrame) -> tuple[list, list[str]] | None:
+    """Ids and texts of the items, in order, if they have at most ``ITEM_WORDS`` words (a character and a blank at least)."""
+    load = items.agg(F.sum(F.floor(F.length("text") / 2) + 1)).first()[0] or 0
+    if load > ITEM_WORDS:
+        return None
+    rows = items.orderBy("doc_id", "text").collect()
+    return [r["doc_id"] for r in rows], [r["text"] for r in rows]
+
+
+def _gram_keys(hashes: np.ndarray, q: int) -> np.ndarray:
+    """Grams of a sequence, apart for each q."""
+    return grams(hashes, q, q)
+
+
+def _item_grams(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], [], []]
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                one = Items([item], [text], similarity)
+                for k, words in enumerate(one.pieces):
+                    own = _gram_keys(words, one.gram[k])
+                    taken = np.unique(own)
+                    # Any ``need`` of the grams leave out fewer than this.
+                    rest = len(own) - one.need[k] + 1
+                    for column, v in zip(columns, (item, k, rest, signed(taken).tolist()), strict=True):
+                        column.append(v)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item", "piece", "rest", "grams"]
+            )
+
+    return run
+
+
+def _bitmap(keys: DataFrame, shift: int) -> np.ndarray:
+    """Which values the leading bits of ``gram`` have, as a bit each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(batch.column("gram").to_numpy().view(np.uint64) >> np.uint64(shift))
+            bit = np.uint64(1) << (place & np.uint64(63))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(place >> np.uint64(6))), pa.array(signed(bit))], names=["word", "bit"]
+            )
+
+    found = keys.select("gram").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros((1 << (64 - shift)) // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _screened(shared: Broadcast, shift: int):
+    """Documents with grams that the bitmap holds, and these grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                words = Words(block, WORDLIKE, lower=True)
+                owners, keys = [], []
+                for q in range(1, GRAM + 1):
+                    key = _gram_keys(words.hash, q)
+                    place = key >> np.uint64(shift)
+                    hit = np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                    hit = hit[words.text[hit] == words.text[hit + q - 1]]
+                    owners.append(words.text[hit])
+                    keys.append(key[hit])
+                owner, key = np.concatenate(owners), np.concatenate(keys)
+                order = np.lexsort((key, owner))
+                owner, key = owner[order], key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+                owner, key = owner[new], key[new]
+                bounds = pa.array(np.searchsorted(owner, np.arange(block.count + 1)), pa.int32())
+                part = batch.slice(block.first, block.count)
+                lists = pa.ListArray.from_arrays(bounds, pa.array(signed(key)))
+                whole = pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "grams"])
+                yield whole.filter(pa.array(np.bincount(owner, minlength=block.count) > 0))
+
+    return run
+
+
+def _verified(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared: dict[int, Items] = {}
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for row in batch.to_pylist():
+                (block,) = blocks(pa.array([row["text"]], pa.string()))
+                words = Words(block, WORDLIKE, lower=True)
+                for item in row["items"]:
+                    one = prepared.get(item["item"])
+                    if one is None:
+                        if len(prepared) >= 4096:
+                            prepared.clear()
+                        one = prepared[item["item"]] = Items([item["item_id"]], [item["text"]], similarity)
+                    for _, _, *best in one.leaks(words):
+                        for column, v in zip(out, (row["doc_id"], item["item_id"], *best, row["text_key"]), strict=True):
+                            column.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            names = [f.split()[0] for f in LEAKS.split(", ")] + ["text_key"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _by_grams(texts: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """The leaks, with ``text_key`` (hash of the document's text), by a join of documents and items."""
+    numbered = stage(items.withColumnRenamed("doc_id", "item_id").withColumn("item", F.monotonically_increasing_id()), "leak-items")
+    pieces = stage(
+        numbered.mapInArrow(_item_grams(similarity), "item long, piece int, rest int, grams array<long>"), "leak-pieces"
+    )
+    wanted = pieces.select("item", "piece", "rest", F.explode("grams").alias("gram"))
+    n = wanted.count()
+    shift = 64 - min(MAX_BITMAP, max(16, (16 * n).bit_length()))
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(wanted, shift))
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    found = stage(
+        rows.mapInArrow(_screened(bitmap, shift), "row long, doc_id long, text string, grams array<long>"), "leak-texts"
+    )
+    hits = found.select("row", F.explode("grams").alias("gram"))
+    often = stage(hits.groupBy("gram").agg(F.count("*").alias("n")), "leak-often")
+    counted = wanted.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("item", "piece", "rest").agg(
+        F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams")  # at most a piece's words
+    )
+    rarest = rarest.select("item", F.explode(F.expr("slice(grams, 1, rest)")).alias("g")).where("g.n > 0")
+    joined = stage(rarest.select("item", F.col("g.gram").alias("gram")).distinct(), "leak-rarest")
+    pairs = stage(hits.join(joined, "gram").select("row", "item").distinct(), "leak-pairs")
+    groups = -(-numbered.count() // GROUP)
+    of_row = (
+        pairs.join(numbered, "item")
+        .groupBy("row", F.pmod(F.xxhash64("item"), F.lit(groups)).alias("group"))
+        .agg(F.collect_list(F.struct("item", "item_id", "text")).alias("items"))  # about GROUP items
+    )
+    both = of_row.join(found.select("row", "doc_id", "text"), "row").withColumn("text_key", F.xxhash64("text"))
+    return both.select("doc_id", "text", "text_key", "items").mapInArrow(_verified(similarity), f"{LEAKS}, text_key long")
 
 
 def find_leaks(
@@ -298,43 +429,32 @@ def find_leaks(
 
     ``items`` has ``item_id`` and ``text``. Documents without a leak give no row.
     """
-    texts = texts_of(docs, id_column, text_column)
-    return reduce(DataFrame.unionAll, _per_block(docs, items, lambda _, part: _matched(texts, part, similarity)))
-
-
-def _per_block(docs: DataFrame, items: DataFrame, apply: Callable[[DataFrame | None, Broadcast], DataFrame]) -> list[DataFrame]:
-    """What ``apply`` makes of each block of items and of the table before; written, if there are several blocks."""
-    context, out = docs.sparkSession.sparkContext, []
-    parts = _item_blocks(items)
-    part = next(parts)
-    while part is not None:
-        following = next(parts, None)
-        shared = context.broadcast(part)
-        table = apply(out[-1] if out else None, shared)
-        if following is not None or out:
-            table = stage(table, "leaks")
-            shared.unpersist()
-        out.append(table)
-        part = following
-    return out
+    texts, found = texts_of(docs, id_column, text_column), texts_of(items, "item_id", "text")
+    few = _few(found)
+    if few is None:
+        return _by_grams(texts, found, similarity).drop("text_key")
+    return _matched(texts, docs.sparkSession.sparkContext.broadcast(few), similarity)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose ``text`` leaks an item; all columns as they are, in one pass per block of items."""
-
-    def kept(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            prepared = Items(*shared.value, similarity)
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for block in blocks(batch.column("text")) if prepared.ids else ():
-                    for text, *_ in prepared.leaks(Words(block, WORDLIKE, lower=True)):
-                        keep[block.first + text] = False
-                yield batch.filter(pa.array(keep))
-
-        return run
+    """``docs`` without the rows whose ``text`` leaks an item; all columns as they are."""
+    found = texts_of(items, "item_id", "text")
+    few = _few(found)
+    if few is None:
+        leaks = _by_grams(texts_of(docs, "doc_id", "text"), found, similarity)
+        gone = stage(leaks.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "leak-gone")
+        key = F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit("")))
+        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.gone_id")) & (key == F.col("g.gone_key"))
+        return docs.alias("d").join(gone.alias("g"), same, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(few)
 
-    def apply(before: DataFrame | None, shared: Broadcast) -> DataFrame:
-        return (docs if before is None else before).mapInArrow(kept(shared), docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared = Items(*shared.value, similarity)
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for block in blocks(batch.column("text")) if prepared.ids else ():
+                for text, *_ in prepared.leaks(Words(block, WORDLIKE, lower=True)):
+                    keep[block.first + text] = False
+            yield batch.filter(pa.array(keep))
 
-    return _per_block(docs, items, apply)[-1]
+    return docs.mapInArrow(run, docs.schema)

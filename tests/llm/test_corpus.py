@@ -386,6 +386,33 @@ def test_leaks_on_odd_rows(spark, odd, none, monkeypatch):
     assert decontamination.decontaminate(odd, items.limit(0)).count() == odd.count()
 
 
+def test_leaks_by_a_join_of_grams(spark, sf_dir, documents, make, monkeypatch):
+    """Benchmarks beyond the bound of the broadcast give the same rows, at all sizes of items, hot grams and repeats."""
+    rng = random.Random(4)
+    items, texts = [], []
+    for k in range(60):
+        own = [f"v{rng.getrandbits(20)}" for _ in range(rng.choice([1, 2, 3, 5, 10, 30, 31, 60, 200]))]
+        if k % 4 == 0:
+            own = ["common", "words", "stand", "here", *own]
+        items.append((k, " ".join(own)))
+        for kind in ("mixed", "none"):
+            edited = _edited(rng, own, int(len(own) * 0.2) if kind == "mixed" else 0)
+            texts.append(" ".join(["common words stand here", *(f"h{rng.getrandbits(20)}" for _ in range(40)), *edited, "end"]))
+    items += [items[5], (None, items[6][1]), (99, None)]
+    table_ = spark.createDataFrame(items, "item_id long, text string")
+    docs = make([*texts, texts[0], None, ""])
+    rows = lambda d, i: sorted(map(tuple, decontamination.find_leaks(d, i).collect()), key=repr)
+    few = rows(docs, table_)
+    given = table(spark, sf_dir, "benchmark")
+    of_table = rows(documents, given)
+    kept = [sorted(map(tuple, decontamination.decontaminate(d, i).collect()), key=repr) for d, i in ((docs, table_), (documents, given))]
+    assert len(few) > 110 and of_table
+    monkeypatch.setattr(decontamination, "ITEM_WORDS", 10)
+    monkeypatch.setattr(decontamination, "GROUP", 7)
+    assert rows(docs, table_) == few and rows(documents, given) == of_table
+    assert kept == [sorted(map(tuple, decontamination.decontaminate(d, i).collect()), key=repr) for d, i in ((docs, table_), (documents, given))]
+
+
 # --- packing ------------------------------------------------------------------------------------------------------------
 
 
