@@ -5,9 +5,9 @@ either case and of digits squeezed, other marks kept) and pairs of neighbouring
 coordinates with its share of the text as value; a word that equals the one before it has a shape of its own, and the ends
 of the text count as shapes, so an empty text has a feature too. A score is one sparse dot product.
 
-Training takes a bounded sample of the labelled rows (about ``max_train`` texts, chosen by a hash of their ids), deals it over a
-fixed number of shards, runs the updates in each, averages the weights and goes on from there for ``rounds`` rounds. What
-reaches the driver is the weights: ``2 ** BITS`` numbers whatever the input's size.
+Training takes a bounded sample of the labelled rows (about ``max_train`` texts, chosen by a hash of their ids), writes its
+features once, by shard (a fixed number of them), runs the updates of each shard in a task, averages the weights and goes on from
+there for ``rounds`` rounds. What reaches the driver is the weights: ``2 ** BITS`` numbers whatever the input's size.
 
 Defined cases: a null text is empty; rows without a label are not learned from; of several labels of an id each counts; without
 any labelled row every score is 0.5; repeated rows are scored each; an empty table gives an empty result; other columns
@@ -16,6 +16,7 @@ are ignored.
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.blocks import Block, Words, blocks, hash_spans, mix, whole_grams
-from chatlens.llm.shared import stage, texts_of
+from chatlens.llm.shared import texts_of
+from chatlens.sources.scratch import scratch_path
 
 BITS = 20
 #: Words in a row that are features, besides single ones.
@@ -156,19 +158,20 @@ def _featured(labelled: DataFrame) -> DataFrame:
 def _learner(start: Broadcast, balance: dict[int, float], training: Training):
     """One pass of updates over the rows of a shard, from the weights ``start`` on."""
 
-    def learn(table: pa.Table) -> pa.Table:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
         state = Leader(start.value, training)
         # The order of a shard does not depend on how its rows came together.
-        table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("label", "ascending")])
         at, value = table["at"].combine_chunks(), table["value"].combine_chunks()
         label = table["label"].to_numpy()
         for i in np.random.default_rng(1).permutation(len(table)):
-            state.learn(
-                at[i].values.to_numpy(), value[i].values.to_numpy(), label[i], balance[label[i]]
-            )
+            state.learn(at[i].values.to_numpy(), value[i].values.to_numpy(), label[i], balance[label[i]])
         weights = state.weights(slice(None))
         used = np.flatnonzero(weights)
-        return pa.table({"at": pa.array(used, pa.int32()), "w": pa.array(weights[used])})
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(weights[used])], names=["at", "w"])
 
     return learn
 
@@ -178,12 +181,11 @@ def train(labelled: DataFrame, training: Training = Training()) -> np.ndarray:
     usable = labelled.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     share = training.max_train / max(usable.count(), training.max_train)
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < round(share * (1 << 30)))
-    rows = stage(
-        _featured(sample).withColumn(
-            "shard", F.pmod(F.hash("doc_id", F.lit(7)), F.lit(training.shards))
-        ),
-        "quality-train",
-    )
+    featured = _featured(sample).withColumn("shard", F.pmod(F.hash("doc_id", F.lit(7)), F.lit(training.shards)))
+    path = scratch_path(labelled.sparkSession, "quality-train")
+    featured.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    rows = labelled.sparkSession.read.schema(featured.schema).parquet(path)
+    shards = [rows.where(F.col("shard") == k).drop("shard").coalesce(1) for k in range(training.shards)]
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     weights = np.zeros(SIZE)
     if len(counts) < 2:
@@ -194,7 +196,7 @@ def train(labelled: DataFrame, training: Training = Training()) -> np.ndarray:
     balance = {k: (total / (2 * n)) ** 0.5 for k, n in counts.items()}
     for _ in range(training.rounds):
         learn = _learner(rows.sparkSession.sparkContext.broadcast(weights), balance, training)
-        learned = rows.groupBy("shard").applyInArrow(learn, "at int, w double")
+        learned = reduce(DataFrame.unionAll, [shard.mapInArrow(learn, "at int, w double") for shard in shards])
         mean = learned.groupBy("at").agg((F.sum("w") / training.shards).alias("w")).toArrow()
         weights = np.zeros(SIZE)
         weights[mean["at"].to_numpy()] = mean["w"].to_numpy()
