@@ -214,3 +214,29 @@ def test_response_schema_can_be_read_back(spark):
     )
     schema = annotate.response_schema(df).first().schema
     assert "a" in schema and "c" in schema
+
+
+def discovered(spark, *responses):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(responses)], "id int, response string")
+    return annotate.flatten_discovered(annotate.parse_responses(df).drop("response", "success"))
+
+
+def test_columns_found_in_the_responses(spark):
+    out = discovered(
+        spark, '{"a":1,"t":{"u":"x"}}', '{"a":"two","l":["p",null]}', "Error: X; ()", '{"t":{"v":NaN},"n":null}', None, "{}"
+    )
+    assert out.dtypes == [("id", "int"), ("a", "string"), ("l", "array<string>"), ("n", "string"), ("t_u", "string"), ("t_v", "string")]
+    found = {r.id: tuple(r)[1:] for r in out.collect()}
+    none = (None,) * 5
+    assert found == {
+        0: ("1", None, None, "x", None),
+        1: ("two", ["p", None], None, None, None),
+        2: none,
+        3: (None, None, None, None, "NaN"),
+        4: none,
+        5: none,
+    }
+
+
+def test_no_columns_without_any_object(spark):
+    assert discovered(spark, "no", None).columns == ["id"] and discovered(spark).columns == ["id"]

@@ -1,7 +1,10 @@
 """Round trips through files, samples, and the run of all stages."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlens.functions.features import Feature
 from chatlens.operators import annotate, clean
@@ -15,6 +18,8 @@ from chatlens.sources import (
     rename_positional,
     sample_by_ids,
     sample_top_conversations,
+    scratch_path,
+    shared_folder,
     write_table,
 )
 
@@ -178,3 +183,27 @@ def test_all_stages_with_the_default_scheme(spark, raw_csv, tmp_path):
     assert classes == {"bonus", "prelievi", "altro"}
     assert {r.value for r in read("insights/out_of_vocabulary").collect()} == {"Boh"}
     assert read("insights/failed").first()[0] == 0
+
+
+def test_annotators_files_may_differ(spark, tmp_path):
+    """Columns in another order, lacking ones, and rows too short for their schema."""
+    texts = {"A": "id;x;y\n1;a;b\n2;c\n", "B": "y;id\nq;1\n", "C": "id;z\n"}
+    paths, schemas = {}, {}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+        paths[name] = str(tmp_path / f"{name}.csv")
+        schemas[name] = T.StructType([T.StructField(c, T.StringType()) for c in text.split("\n")[0].split(";")])
+    df = read_annotations(spark, paths, schemas)
+    assert df.columns == ["id", "x", "y", "annotator", "z"]
+    assert rows(df) == [("1", "a", "b", "A", None), ("1", None, "q", "B", None), ("2", "c", None, "A", None)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: folder)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+        assert scratch_path(session(master, "s3://bucket/x/"), "t").startswith("s3://bucket/x/t-")
