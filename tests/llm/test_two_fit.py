@@ -6,10 +6,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from chatlens.llm import byte_tokens
 from chatlens.llm import two_fit_packing as tf
+from chatlens.llm.blocks import blocks
 from chatlens.llm.byte_tokens import ByteTokens
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -140,3 +143,72 @@ def test_white_space_around_the_border_of_long(library):
         parts = [rnd.choice(["a", " ", "\n", "\x1c", "\x85", "\xa0", "é,", "12"]) * rnd.choice([1, 2, 511, 512, 513]) for _ in range(5)]
         text = "".join(parts)
         assert tokens.ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def in_blocks(tokens, texts, limit):
+    """Ids of each text, taken from blocks of about ``limit`` bytes."""
+    out = []
+    for block in blocks(pa.array(texts, pa.string()), limit):
+        ids, n = tokens.block_ids(block)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    return out
+
+
+def test_a_word_goes_to_the_library_once():
+    tokens, rnd = ByteTokens(RANKS, PATTERN), random.Random(8)
+    assert tokens.cut
+    vocabulary = [f"w{rnd.getrandbits(20):x}" for _ in range(200)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(100)) + ".\n" for _ in range(300)]
+    whole, seen = tokens.library, []
+
+    class Counting:
+        def encode_ordinary(self, text):
+            seen.append(len(text))
+            return whole.encode_ordinary(text)
+
+    tokens.library = Counting()
+    assert in_blocks(tokens, texts, 20_000) == [whole.encode_ordinary(t) for t in texts]
+    assert sum(seen) < 0.02 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("words, ids, judged", [(1 << 20, 1 << 23, 1 << 17), (64, 500, 1 << 17), (64, 500, 100)])
+def test_blocks_give_the_library_s_ids(library, monkeypatch, words, ids, judged):
+    """Cuts lie at borders of pieces only; with few places words push each other out and the store begins anew.
+
+    Judged early, some blocks go whole from somewhere on.
+    """
+    monkeypatch.setattr(byte_tokens, "JUDGED_WORDS", judged)
+    monkeypatch.setattr(byte_tokens, "WHOLE_BLOCKS", 2)
+    monkeypatch.setattr(byte_tokens, "KEPT_WORDS", words)
+    monkeypatch.setattr(byte_tokens, "KEPT_IDS", ids)
+    monkeypatch.setattr(byte_tokens, "_STEP", 50)
+    tokens, rnd = ByteTokens(RANKS, PATTERN), random.Random(5)
+    blanks = [" ", "\n", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u200b", "\u180e"]
+    parts = [chr(i) for i in range(128)] + ["'", "'s", "'re", "n't", "'T"] * 5 + blanks * 5
+    parts += [*"éßЖ中か한١²½\u0301😀𝔘"] * 2 + [" the", "and", "<|endoftext|>", "<|endoftext|"]
+    for r in range(30):
+        own = parts if r % 3 else rnd.sample(parts, 12)
+        texts = ["".join(rnd.choices(own, k=rnd.choice([0, 1, 2, 3, 9, 100]))) for _ in range(100)] + [" " * 600 + "a'"]
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert in_blocks(tokens, texts, rnd.choice([20, 3000])) == want
+
+
+def test_texts_of_words_that_do_not_recur_go_whole(monkeypatch):
+    monkeypatch.setattr(byte_tokens, "JUDGED_WORDS", 1000)
+    monkeypatch.setattr(byte_tokens, "_STEP", 500)
+    tokens, rnd = ByteTokens(RANKS, PATTERN), random.Random(9)
+    new = [" ".join("".join(rnd.choices("abcdefghij", k=9)) for _ in range(50)) for _ in range(200)]
+    old = ["of the one and the other, " * 20] * 300
+    whole = tokens.library.encode_ordinary
+    assert in_blocks(tokens, new[:100], 1 << 20) == [whole(t) for t in new[:100]]
+    assert tokens.whole_blocks == byte_tokens.WHOLE_BLOCKS
+    assert in_blocks(tokens, new[100:], 1) == [whole(t) for t in new[100:]]
+    assert in_blocks(tokens, old, 2000) == [whole(t) for t in old]
+    assert not tokens.whole_blocks
+
+
+def test_blocks_of_other_patterns():
+    """A pattern whose pieces the cuts do not know gets whole texts."""
+    tokens = ByteTokens(RANKS, r"[a-z ]+|[^a-z ]+")
+    texts = ["of the one, the other", "", " the the", "the"]
+    assert in_blocks(tokens, texts, 1000) == [tokens.library.encode_ordinary(t) for t in texts]
