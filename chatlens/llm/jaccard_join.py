@@ -9,7 +9,8 @@ possible overlap is too small, and pairs that are already connected. What is lef
 
 Clusters of more than ``BLOCK`` sets or ``BLOCK_BYTES`` of text are cut into blocks, each with a tree: first every block with
 itself, then members of each component found so far with each other, dealt anew as long as that joins components, then,
-only in clusters that still are more than one component, every two blocks. So a large group of near copies costs about its
+only in clusters that still are more than one component, the sets that share a bucket (or every two blocks, where these are
+less text), in rounds that send about the corpus once. So a large group of near copies costs about its
 size; no pair of copies is written out. A task holds a block, or two: a text counts at least ``BLOCK_BYTES / BLOCK``, so a
 block has about as many sets and bytes as these name, and a text beyond them mostly has a block for itself.
 
@@ -441,23 +442,86 @@ def find_links(
             "jaccard-across",
         )
         now = stage(labelled(), "jaccard-labelled")
-    # Clusters that are not one component yet: every two blocks, unless they are one component themselves.
+    # Clusters that are not one component yet: what shares a bucket, or every two blocks.
     open_ = now.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    open_ = stage(open_, "jaccard-open", n_rows)
-    spread = now.join(open_.select("cluster"), "cluster").select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("other")
+    open_ = stage(open_.select("cluster"), "jaccard-open", n_rows)
+    if open_.isEmpty():
+        return rows, links
+    dealt = _dealt_last(now.join(open_, "cluster"), met, n_rows)
+    sent, whole = dealt.agg(F.sum("n_bytes")).first()[0] or 0, rows.agg(F.sum("n_bytes")).first()[0]
+    group = ["way", "unit", "i", "j"]
+    rounds = max(1, -(-sent // whole))
+    for turn in range(rounds):
+        own = dealt.where(F.pmod(F.xxhash64(*group), F.lit(rounds)) == turn).drop("n_bytes")
+        last = now.select("node", "text", "label").join(own, "node")
+        found = stage(last.groupBy(*group).applyInArrow(join, "a long, b long"), "jaccard-last")
+        links = links.unionByName(found)
+    return rows, stage(links, "jaccard-links")
+
+
+def _dealt_last(now: DataFrame, met: DataFrame, n_rows: int) -> DataFrame:
+    """Where the sets of clusters that stay open are compared: ``node`` and its ``half`` by ``way``, ``unit``, ``i`` and ``j``.
+
+    Linked sets share a bucket, so both lie in the star of its least node (``met``). Stars with several labels are compared,
+    small ones packed to blocks, every two blocks of a larger one. A cluster that this sends more text for than
+    every two blocks of its own has these compared.
+    """
+    nodes = stage(
+        now.groupBy("node").agg(
+            *[F.min(c).alias(c) for c in ("cluster", "label", "load", "n_blocks", "block")],
+            F.sum(F.octet_length("text")).alias("n_bytes"),
+        ),
+        "jaccard-open-nodes",
+        n_rows,
     )
-    paired = spread.where("other <> block").select(
-        "cluster",
+    arms = met.select(F.col("a").alias("star"), F.col("b").alias("node")).join(nodes, "node")
+    arms = arms.unionByName(nodes.withColumn("star", F.col("node"))).drop("n_blocks", "block")
+    arms = stage(arms, "jaccard-arms")
+    mixed = stage(
+        arms.groupBy("star")
+        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum("load").alias("size"))
+        .where("x <> y")
+        .select("star", "size", F.ceil(F.col("size") / BLOCK_BYTES).alias("n_blocks")),
+        "jaccard-mixed",
+        n_rows,
+    )
+    arms = arms.join(mixed, "star")
+    by_stars = arms.groupBy("cluster").agg(F.sum(F.col("n_bytes") * F.col("n_blocks")).alias("by_stars"))
+    by_blocks = nodes.groupBy("cluster").agg(F.sum(F.col("n_bytes") * F.col("n_blocks")).alias("by_blocks"))
+    ways = stage(
+        by_blocks.join(by_stars, "cluster").select("cluster", (F.col("by_stars") < F.col("by_blocks")).alias("starred")),
+        "jaccard-ways",
+        n_rows,
+    )
+    starred = arms.join(ways.where("starred").select("cluster"), "cluster")
+    packed = starred.where("n_blocks = 1").agg(F.sum("load")).first()[0] or 0
+    packs = max(1, -(-packed // BLOCK_BYTES))
+    small = F.col("n_blocks") == 1
+    none = F.lit(0).cast("long")
+    # Small stars are in packs, (0, 0) of which is all; larger ones and clusters in blocks.
+    star_rows = starred.select(
+        "node",
+        "n_bytes",
+        F.when(small, 0).otherwise(1).alias("way"),
+        F.when(small, F.pmod(F.xxhash64("star", F.lit(5)), F.lit(packs))).otherwise(F.col("star")).alias("unit"),
+        F.pmod(F.xxhash64("node", F.lit(6)), F.col("n_blocks")).alias("block"),
+        "n_blocks",
+    )
+    block_rows = nodes.join(ways.where("not starred").select("cluster"), "cluster").select(
+        "node", "n_bytes", F.lit(2).alias("way"), F.col("cluster").alias("unit"), "block", "n_blocks"
+    )
+    spread = star_rows.unionByName(block_rows).select("*", F.explode(F.sequence(none, F.col("n_blocks") - 1)).alias("other"))
+    # Blocks of a cluster were compared with themselves before.
+    spread = spread.where("way <> 2 or other <> block").select(
+        "node",
+        "n_bytes",
+        "way",
+        "unit",
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
-        "node",
-        "text",
-        "label",
-        F.col("block").alias("half"),
+        F.when(F.col("other") != F.col("block"), F.col("block")).alias("half"),
     )
-    last = paired.groupBy("cluster", "i", "j").applyInArrow(join, "a long, b long")
-    return rows, stage(links.unionByName(last), "jaccard-links")
+    return stage(spread.distinct(), "jaccard-dealt-last")
 
 
 def _rooted(docs: DataFrame, n: int, p: int, q: int, id_column: str, text_column: str) -> tuple[DataFrame, int]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -21,6 +22,7 @@ from chatlens.llm import (
     links,
     quality_classifier,
     retrieval_packing,
+    shared,
     substring_dedup,
     url_filter,
 )
@@ -192,6 +194,74 @@ def test_join_of_clusters_in_blocks(make, monkeypatch):
     assert _components(jaccard_join.join_components(make(rows), 3, 90, 100)) == want
 
 
+def test_join_of_a_cluster_of_many_components(spark, make, monkeypatch):
+    """Sets that share buckets and are mostly not similar: compared by what they share, in several rounds, not block by block."""
+    rnd = random.Random(3)
+    rows = [" ".join(f"c{k}" for k in range(8 * i, 8 * i + 100)) for i in range(160)]
+    for i in range(0, 160, 5):
+        one = rows[i].split()
+        one[rnd.randrange(100)] = f"x{i}"
+        rows.append(" ".join(one))
+    rows += rows[:3]
+    want = components_by_brute_force(list(enumerate(rows)), 3, 90, 100)
+    assert len({c for _, _, c in want}) > 100
+    sent, names = spark.sparkContext.accumulator(0), []
+    join, write = jaccard_join._joined, jaccard_join.stage
+
+    def counted(n, p, q):
+        run = join(n, p, q)
+
+        def counting(table):
+            sent.add(table.num_rows)
+            return run(table)
+
+        return counting
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 8 << 10)
+    monkeypatch.setattr(jaccard_join, "_joined", counted)
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name, *n: names.append(name) or write(df, name, *n))
+    assert _components(jaccard_join.join_components(make(rows), 3, 90, 100)) == want
+    assert names.count("jaccard-last") > 1
+    assert 0 < sent.value < 10 * len(rows)  # every two blocks: more than 20
+
+
+def test_join_of_a_large_star(make, monkeypatch):
+    """One bucket with more dissimilar sets than a block holds: its blocks are compared with themselves and each other."""
+    rnd = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(75))
+    rows = []
+    for i in range(60):
+        rows.append(f"{shared} " + " ".join(f"u{i}x{k}" for k in range(25)))
+        if i % 6 == 0:
+            rows.append(rows[-1] + f" z{rnd.randrange(9)}")
+    want = components_by_brute_force(list(enumerate(rows)), 3, 90, 100)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 8 << 10)
+    assert _components(jaccard_join.join_components(make(rows), 3, 90, 100)) == want
+    assert len({c for _, _, c in want}) == 60
+
+
+def test_written_tables_leave_no_shuffle_files(spark, make):
+    """Else the shuffles of a chain of tables are on disk at once."""
+
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        all_files = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())
+        return {f.getName() for f in all_files if f.getName().startswith("shuffle_")}
+
+    before = files()
+    table = shared.stage(make(["a b", "c d", "a b"]).groupBy("text").count(), "t")
+    left = files() - before
+    for _ in range(50):  # they are removed in the background
+        if not left:
+            break
+        time.sleep(0.1)
+        left = files() - before
+    assert not left and table.count() == 2
+    assert spark.conf.get(shared.CLEANUP) == "false"
+
+
 def test_join_of_long_texts_in_blocks_by_bytes(make, monkeypatch):
     """50 near copies of 200 kB under a bound of 1 MB: no task gets much more."""
     rnd = random.Random(7)
